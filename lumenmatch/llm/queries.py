@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality_rules, repeats
+from . import decontaminate, jaccard, packing, quality_rules, repeats
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
 
@@ -42,4 +52,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_jaccard_join, op7_decontaminate, op8_suffix_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_jaccard_join, op7_decontaminate, op8_suffix_dedup, op9_quality_rules)}
