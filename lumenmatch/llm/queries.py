@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality_rules, repeats, url_filter
+from . import decontaminate, jaccard, language, packing, quality_rules, repeats, secrets, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+    order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("kind"), s["end"].alias("end"))))
+    shown = lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"].cast("int")), s["start"], s["end"])
+    base = F.filter(order, lambda s: s["kind"] <= 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(order, shown), ",").alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -73,4 +87,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_url_filter, op4_language_id, op5_jaccard_join, op7_decontaminate, op8_suffix_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules)}
