@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality_rules, repeats, secrets, url_filter
+from . import decontaminate, jaccard, language, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,5 +86,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")
+    labels = table(spark, sf_dir, "labels").select("doc_id", good)
+    return quality_classifier.classify(docs, quality_classifier.train(docs, labels))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
