@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+SIEVE_BITS = 26
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -126,5 +128,73 @@ def by_bucket(df: DataFrame, work, schema: str) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-def exploded(df: DataFrame, column: str) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != column], F.explode(column).alias(column))
+def _gathered(parts: DataFrame, join, size: int) -> np.ndarray:
+    """Arrays that tasks emit in 16 cuts (part, salt, blob), joined in two levels; size bytes reach the driver."""
+
+    def run(t: pa.Table) -> pa.Table:
+        blob = zlib.compress(join([zlib.decompress(x) for x in t.column("blob").to_pylist()]), 1)
+        return pa.table({"part": t.column("part")[:1], "salt": t.column("salt")[:1], "blob": pa.array([blob], pa.binary())})
+
+    level = parts.groupBy("part", "salt").applyInArrow(run, "part int, salt int, blob binary")
+    rows = level.withColumn("salt", F.lit(0)).groupBy("part", "salt").applyInArrow(run, "part int, salt int, blob binary").collect()
+    out = np.zeros(size, np.uint8)
+    for r in rows:
+        out[r.part * (size // 16) : (r.part + 1) * (size // 16)] = np.frombuffer(zlib.decompress(r.blob), np.uint8)
+    return out
+
+
+def _emitted(whole: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    salt = TaskContext.get().partitionId() % 64
+    blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(whole, 16)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(16), pa.int32()), pa.array([salt] * 16, pa.int32()), pa.array(blobs, pa.binary())], ["part", "salt", "blob"]
+    )
+
+
+def bucket_totals(df: DataFrame, hashes, bits: int) -> np.ndarray:
+    """How often the top bits of hashes(batch) fall into each of 2**bits buckets, over all rows of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for h in hashes(b):
+                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if total.any():
+            yield _emitted(total)
+
+    def add(blobs: list[bytes]) -> bytes:
+        return sum(np.frombuffer(x, "<i8") for x in blobs).tobytes()
+
+    return _gathered(df.mapInArrow(run, "part int, salt int, blob binary"), add, 8 << bits).view("<i8")
+
+
+def _sieve_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64), (h & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
+
+
+def sieve_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of long ids: 2**SIEVE_BITS bits whatever their number; a full one passes all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SIEVE_BITS, bool)
+        for b in batches:
+            for at in _sieve_bits(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        if bits.any():
+            yield _emitted(np.packbits(bits))
+
+    def both(blobs: list[bytes]) -> bytes:
+        return np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in blobs]).tobytes()
+
+    return _gathered(ids.mapInArrow(run, "part int, salt int, blob binary"), both, 1 << (SIEVE_BITS - 3))
+
+
+def passes(sieve: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which ids may be in the sieve; null ids are not."""
+    out = np.asarray(ids.is_valid())
+    for at in _sieve_bits(ids.fill_null(0).to_numpy(zero_copy_only=False)):
+        out &= (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out

@@ -1,14 +1,15 @@
 """Exact Jaccard self-join of word-shingle sets with a token-group matrix.
 
 Texts with equal sets form one class, so copies are never compared. Shingles are ranked
-rarest first by bucket counts over all documents; two sets with Jaccard >= t share one of
-their first ``n - ceil(t*n) + 1`` shingles. Classes that share such a shingle with another
-are candidates. Candidates are partitioned into groups (by their most shared shingle, cut
-into blocks of bounded size); inside a block all links are found. For each block its token
-union is stored; the token-group matrix (shared shingle, block) gives the pairs of blocks
-that may hold a link; members whose overlap with the other block's union is too small are
-pruned, and only blocks with members left are opened. Blocks that are wholly one component
-already are not opened against each other.
+rarest first by bucket counts over all documents; of two sets with Jaccard >= t the first
+``n - ceil(t*n) + k`` shingles have at least k in common, here k = 1 + EXTRA percent of the
+smaller set. Classes that share as many with classes of a possible size are candidates.
+Candidates are partitioned into groups (by their most shared shingle, cut into blocks of
+bounded size); inside a block all links are found. For each block its token union is
+stored; the token-group matrix (shared shingle, block) bounds what a member can have in
+common with a block. Only blocks with members left are opened, and there the overlap with
+the token union prunes again. A block that is wholly in a member's component already is
+not opened for it.
 
 A family of near copies costs rows in proportion to its size, never its pairs. Shingles
 that occur very often are spread over all tasks and treated as shared without a count.
@@ -38,6 +39,7 @@ SKETCH_BITS = 18
 BLOCK_TOKENS = 64_000
 FLUSH = 2_000_000
 HOT_FACTOR = 8
+EXTRA = 4
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -67,8 +69,13 @@ def _set_id(tokens: np.ndarray) -> int:
     return int((A.mix(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))).view(np.int64)) if len(tokens) else 0
 
 
+def _least_shared(n, extra: int = EXTRA):
+    """How many prefix shingles two sets of at least n shingles share if they link."""
+    return 1 + extra * n // 100
+
+
 def _prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    return min(n, n - (percent * n + 99) // 100 + _least_shared(n))
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
@@ -85,60 +92,28 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long")
 
 
-def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Occurrences of shingles by their top SKETCH_BITS bits, over all rows; 2**SKETCH_BITS numbers whatever the input."""
-    size, parts = 1 << SKETCH_BITS, 16
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            some = [s for _, s in shingle_sets(b.column(0), width)]
-            if some:
-                total += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        if total.any():
-            salt = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(parts), pa.int32()), pa.array([salt] * parts, pa.int32()),
-                    pa.array([x.astype("<i8").tobytes() for x in np.split(total, parts)], pa.binary()),
-                ],
-                ["part", "salt", "counts"],
-            )
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in t.column("counts").to_pylist())
-        return pa.table({"part": t.column("part")[:1], "salt": t.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, salt int, counts binary"
-    level = docs.select("text").mapInArrow(run, schema).groupBy("part", "salt").applyInArrow(add, schema)
-    rows = level.withColumn("salt", F.lit(0)).groupBy("part", "salt").applyInArrow(add, schema).collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r.part * (size // parts) : (r.part + 1) * (size // parts)] = np.frombuffer(r.counts, "<i8")
-    return out
-
-
 def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Prefix shingles that at least two classes have: token, sid, cnt (classes with it)."""
+    """Prefix shingles that classes of compatible size share: token, sid, n (its shingles), cnt (classes with the token)."""
     spark = docs.sparkSession
     buckets = partitions(spark) * 2
     held = spark.sparkContext.broadcast(counts)
     hot_from = int(max(2000, HOT_FACTOR * counts.mean()))
+    top = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = held.value
         tokens: list[np.ndarray] = []
         names: list[int] = []
+        sizes: list[int] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
             tok = np.concatenate(tokens)
-            sid = np.repeat(np.array(names, np.int64), [len(t) for t in tokens])
-            hot = seen[(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot_from
+            per = [len(t) for t in tokens]
+            sid, n = np.repeat(np.array(names, np.int64), per), np.repeat(np.array(sizes, np.uint32), per)
+            hot = seen[(tok >> top).astype(np.int64)] >= hot_from
             key = np.where(hot, A.mix(tok ^ A.mix(sid.view(np.uint64))), tok)
-            out = list(A.dealt(key, [tok, sid, hot.astype(np.uint8)], buckets))
+            out = list(A.dealt(key, [tok, sid, n, hot.astype(np.uint8)], buckets))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "blob"]
             )
@@ -147,33 +122,34 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: in
             for _, s in shingle_sets(b.column(0), width):
                 if len(s):
                     p = _prefix_length(len(s), percent)
-                    rank = seen[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    tokens.append(s[np.lexsort((s, rank))[:p]])
+                    tokens.append(s[np.lexsort((s, seen[(s >> top).astype(np.int64)]))[:p]])
                     names.append(_set_id(s))
+                    sizes.append(len(s))
                     waiting += p
             if waiting > FLUSH:
                 yield flush()
-                tokens, names, waiting = [], [], 0
+                tokens, names, sizes, waiting = [], [], [], 0
         if waiting:
             yield flush()
 
     def detect(blobs: list[bytes]) -> pa.RecordBatch:
-        tok, sid, hot = A.unpack(blobs, ["uint64", "int64", "uint8"])
-        order = np.lexsort((sid, tok))
-        tok, sid, hot = tok[order], sid[order], hot[order].astype(bool)
+        tok, sid, n, hot = A.unpack(blobs, ["uint64", "int64", "uint32", "uint8"])
+        order = np.lexsort((sid, n, tok))
+        tok, sid, n, hot = tok[order], sid[order], n[order].astype(np.int64), hot[order].astype(bool)
         first = np.ones(len(tok), bool)
         first[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
-        tok, sid, hot = tok[first], sid[first], hot[first]
-        _, inverse, n = np.unique(tok, return_inverse=True, return_counts=True)
-        n = n[inverse]
-        n = np.where(hot, held.value[(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], n)
-        keep = (n > 1) | hot
+        tok, sid, n, hot = tok[first], sid[first], n[first], hot[first]
+        near = (tok[1:] == tok[:-1]) & (100 * n[:-1] >= percent * n[1:])  # in order of size
+        keep = np.r_[near, False] | np.r_[False, near] | hot
+        _, inverse, cnt = np.unique(tok, return_inverse=True, return_counts=True)
+        cnt = np.where(hot, held.value[(tok >> top).astype(np.int64)], cnt[inverse])
         return pa.RecordBatch.from_arrays(
-            [pa.array(tok[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep].astype(np.int64))], ["token", "sid", "cnt"]
+            [pa.array(tok[keep].view(np.int64)), pa.array(sid[keep]), pa.array(n[keep]), pa.array(cnt[keep].astype(np.int64))],
+            ["token", "sid", "n", "cnt"],
         )
 
     blobs = docs.select("text").mapInArrow(run, "bucket int, blob binary")
-    return A.by_bucket(blobs, detect, "token long, sid long, cnt long")
+    return A.by_bucket(blobs, detect, "token long, sid long, n long, cnt long")
 
 
 def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,28 +199,31 @@ def component_ids(
 
 def links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between the sids of classes that connect what Jaccard links connect."""
-    counts = bucket_counts(docs, width)
+    hashes = lambda b: (s for _, s in shingle_sets(b.column(0), width))
+    counts = A.bucket_totals(docs.select("text"), hashes, SKETCH_BITS)
     shared = materialize(shared_prefixes(docs, counts, width, percent))
-    best = shared.groupBy("sid").agg(F.max(F.struct("cnt", "token")).alias("b"))
-    chosen = best.join(classes, "sid").select("sid", F.col("b.token").alias("grp"), "rep", F.col("n_shingles").alias("n"))
+    best = shared.groupBy("sid", "n").agg(F.max(F.struct("cnt", "token")).alias("b"), F.count("*").alias("k"))
+    enough = F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100) + 1
+    best = best.where(F.col("k") >= enough).select("sid", "n", F.col("b.token").alias("grp"), enough.alias("least"))
+    chosen = best.join(classes.select("sid", "rep"), "sid")
     groups = chosen.groupBy("grp").agg(F.sum("n").alias("tokens"), F.min("sid").alias("leader"))
     groups = groups.select("grp", "leader", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
     placed = materialize(
         chosen.join(groups, "grp").select(
-            "sid", "rep", "grp", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"),
+            "sid", "rep", "grp", "least", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"),
             F.when(F.col("sid") == F.col("leader"), F.col("blocks")).alias("copies"),
         )
     )
     sets = _sets_of(docs, placed, width)
-    blocks = materialize(sets.groupBy("grp", "block").applyInArrow(_block(percent), "grp long, block int, sids array<long>, roots array<long>, tokens array<binary>"))
+    schema = "grp long, block int, sids array<long>, roots array<long>, tokens array<binary>"
+    blocks = materialize(sets.groupBy("grp", "block").applyInArrow(_block(percent), schema))
     inner = blocks.select(F.explode(F.arrays_zip("sids", "roots")).alias("e")).select(F.col("e.sids").alias("u"), F.col("e.roots").alias("v"))
     inner = materialize(inner.where(F.col("u") != F.col("v")).distinct())
-    labels = components(inner)
-    pairs = _block_pairs(shared, placed, labels)
+    pairs = _block_pairs(shared, placed, components(inner))
     data = blocks.select("grp", "block", "sids", "tokens")
     one = data.toDF("g1", "b1", "sids1", "tokens1")
     two = data.toDF("g2", "b2", "sids2", "tokens2")
-    opened = pairs.join(one, ["g1", "b1"]).join(two, ["g2", "b2"]).select("sids1", "tokens1", "sids2", "tokens2")
+    opened = pairs.join(one, ["g1", "b1"]).join(two, ["g2", "b2"]).select("asked", "sids1", "tokens1", "sids2", "tokens2")
     cross = opened.mapInArrow(_open(percent), "u long, v long")
     return inner.unionByName(cross.distinct())
 
@@ -252,20 +231,19 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int
 def _sets_of(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
     """Shingle sets of the candidates, each in its block and a group's leader in all blocks: grp, block, sid, tokens."""
     wanted = placed.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "grp", "block", "copies")
+    sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(placed.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want = b.column(1).to_pylist()
-            keep, blobs = [], []
-            for r, s in shingle_sets(b.column(0), width):
-                if _set_id(s) == want[r]:  # a repeated id may stand on another text
-                    keep.append(r)
-                    blobs.append(s.tobytes())
-            rest = b.select([1, 2, 3, 4]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blobs, pa.binary())], ["sid", "grp", "block", "copies", "tokens"])
-
-    joined = docs.join(wanted, "doc_id").select("text", "want", "grp", "block", "copies")
-    sets = joined.mapInArrow(run, "sid long, grp long, block int, copies int, tokens binary")
+            b = b.filter(pa.array(A.passes(sieve.value, b.column(0))))
+            sets = [s for _, s in shingle_sets(b.column(1), width)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "sid", "tokens"],
+            )
+
+    sets = docs.mapInArrow(run, "doc_id long, sid long, tokens binary")
+    sets = sets.join(wanted, "doc_id").where(F.col("sid") == F.col("want"))  # a repeated id may stand on another text
     where = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("block"))
     return sets.select("grp", "sid", "tokens", F.explode(where).alias("block"))
 
@@ -298,39 +276,42 @@ def _block(percent: int):
 
 
 def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of blocks that share a prefix token and are not both wholly one and the same component: g1, b1, g2, b2."""
-    member = placed.join(labels, placed.sid == labels.node, "left").select("sid", "grp", "block", F.coalesce("label", "sid").alias("label"))
+    """Blocks g1, b1 with members (asked) that share enough prefix tokens with block g2, b2 and may not be connected yet."""
+    member = placed.join(labels, placed.sid == labels.node, "left").select(
+        "sid", "grp", "block", "least", F.coalesce("label", "sid").alias("label")
+    )
     whole = member.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    matrix = shared.select("token", "sid").join(placed.select("sid", "grp", "block"), "sid").select("token", "grp", "block").distinct()
-    matrix = materialize(matrix.join(whole, ["grp", "block"]))
-    mixed = matrix.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("k"))
-    mixed = mixed.where((F.col("k") > 1) & (F.col("l") != F.col("h"))).select("token")
-    matrix = matrix.join(mixed, "token", "left_semi")
-    a = matrix.select("token", *[F.col(c).alias(c + "1") for c in ("grp", "block", "lo", "hi")])
-    b = matrix.select("token", *[F.col(c).alias(c + "2") for c in ("grp", "block", "lo", "hi")])
-    after = (F.col("grp1") < F.col("grp2")) | ((F.col("grp1") == F.col("grp2")) & (F.col("block1") < F.col("block2")))
-    same = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
-    pairs = a.join(b, "token").where(after & ~same)
-    return pairs.select(F.col("grp1").alias("g1"), F.col("block1").alias("b1"), F.col("grp2").alias("g2"), F.col("block2").alias("b2")).distinct()
+    rows = materialize(shared.select("token", "sid").join(member.join(whole, ["grp", "block"]), "sid"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h"))
+    rows = rows.join(mixed.select("token"), "token", "left_semi")
+    matrix = rows.select("token", *[F.col(c).alias(c + "2") for c in ("grp", "block", "lo", "hi")]).distinct()
+    other = (F.col("grp") < F.col("grp2")) | ((F.col("grp") == F.col("grp2")) & (F.col("block") < F.col("block2")))
+    same = (F.col("lo2") == F.col("hi2")) & (F.col("lo2") == F.col("label"))
+    met = rows.join(matrix, "token").where(other & ~same)
+    met = met.groupBy("grp", "block", "grp2", "block2", "sid").agg(F.count("*").alias("k"), F.first("least").alias("least"))
+    met = met.where(F.col("k") >= F.col("least"))
+    return met.groupBy(F.col("grp").alias("g1"), F.col("block").alias("b1"), F.col("grp2").alias("g2"), F.col("block2").alias("b2")).agg(
+        F.collect_list("sid").alias("asked")
+    )
 
 
 def _open(percent: int):
-    """Links between the members of two blocks."""
+    """Links between the asked members of a block and the members of another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us: list[int] = []
             vs: list[int] = []
-            for sids1, tokens1, sids2, tokens2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(sids1) > len(sids2):
-                    sids1, tokens1, sids2, tokens2 = sids2, tokens2, sids1, tokens1
+            for asked, sids1, tokens1, sids2, tokens2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 sets = _blob_sets(tokens2)
                 union, starts, member = _postings(sets)
                 sizes = np.array([len(s) for s in sets])
-                for sid, q in zip(sids1, _blob_sets(tokens1), strict=True):
-                    for k in _linked(q, union, starts, member, sizes, percent):
-                        us.append(sid)
-                        vs.append(sids2[k])
+                wanted = set(asked)
+                for sid, q in zip(sids1, tokens1, strict=True):
+                    if sid in wanted:
+                        for k in _linked(np.frombuffer(q, np.uint64), union, starts, member, sizes, percent):
+                            us.append(sid)
+                            vs.append(sids2[k])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
