@@ -8,8 +8,9 @@ what the pass before could not tell apart:
    so equal windows meet under the same gram. Grams of one document only are dropped.
 2. Grams are ordered by their whole context (all bytes that a window through the gram can
    have). In a group of equal contexts all documents but the first are covered entirely.
-3. Contexts that differ under the same gram are ordered at full depth: each of their windows
-   is hashed, equal windows form a group, and its smallest document covers the others.
+3. Contexts that differ under the same gram are ordered at full depth: their bytes go to the
+   gram's bucket, the windows in them are hashed, equal ones form a group, and its smallest
+   document covers the others.
 
 Each task first settles what it can within its own documents, so a passage that a third of
 all documents share leaves a task as a few records, and grams that are frequent within a
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,28 +88,36 @@ def _first_of(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, new, least
 
 
-def _rows(doc: np.ndarray, pos: np.ndarray, settled: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.full(len(doc), settled))], ["doc_id", "pos", "settled"]
-    )
+#: A row of a gram at byte pos: state 0 open, 1 covered wholly, 2 open and frequent; mask has bit o for a covered
+#: window that starts at pos - (LENGTH - DEPTH) + o.
+_ROWS = "doc_id long, pos int, state int, mask long"
+_ALL = -1
 
 
-_ROWS = "doc_id long, pos int, settled boolean"
+def _rows(doc: np.ndarray, pos: np.ndarray, state: np.ndarray | int, mask: np.ndarray | int) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)),
+            pa.array(np.broadcast_to(np.int32(state), n).astype(np.int32)), pa.array(np.broadcast_to(np.int64(mask), n).astype(np.int64)),
+        ],
+        ["doc_id", "pos", "state", "mask"],
+    )
 
 
 def _tagged(rows: pa.RecordBatch | None, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Rows that need no exchange (bucket -1, as a blob) and blobs for the exchange."""
+    """Rows that are settled already (bucket -1, as a blob) and blobs for the exchange."""
+    out = list(blobs)
     if rows is not None and rows.num_rows:
-        blob = A.pack([rows.column(0).to_numpy(), rows.column(1).to_numpy()])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-    if blobs:
+        out.append((-1, A.pack([rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(3).to_numpy()])))
+    if out:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], ["bucket", "blob"]
+            [pa.array([b[0] for b in out], pa.int32()), pa.array([b[1] for b in out], pa.binary())], ["bucket", "blob"]
         )
 
 
-def gram_rows(docs: DataFrame, length: int, depth: int) -> DataFrame:
-    """Grams shared by documents: doc_id, pos, settled (the whole context is in a smaller document)."""
+def gram_rows(docs: DataFrame, length: int, depth: int, hot_from: int = HOT) -> DataFrame:
+    """Grams shared by documents, as rows: covered where the whole context is in a smaller document, else open."""
     buckets = partitions(docs.sparkSession) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +144,12 @@ def gram_rows(docs: DataFrame, length: int, depth: int) -> DataFrame:
         order, _, least = _first_of([gram, ctx], doc)
         gram, ctx, doc, pos = gram[order], ctx[order], doc[order], pos[order]
         done = least < doc
-        own = _rows(doc[done], pos[done], True)
+        own = _rows(doc[done], pos[done], 1, _ALL)
         gram, ctx, doc, pos = gram[~done], ctx[~done], doc[~done], pos[~done]
         starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
         size = np.diff(np.r_[starts, len(gram)])
-        hot = np.repeat(size >= HOT, size)
-        marks = starts[size >= HOT]  # one plain record tells the others of the gram that it is shared
+        hot = np.repeat(size >= hot_from, size)
+        marks = starts[size >= hot_from]  # one plain record tells the others of the gram that it is shared
         key = np.where(hot, A.mix(gram ^ ctx), A.mix(gram))
         gram, ctx, doc, pos = (np.r_[x, x[marks]] for x in (gram, ctx, doc, pos))
         kind = np.r_[hot.astype(np.uint8), np.full(len(marks), 2, np.uint8)]
@@ -147,7 +157,7 @@ def gram_rows(docs: DataFrame, length: int, depth: int) -> DataFrame:
         low, high = gram.astype(np.uint32), (gram >> np.uint64(32)).astype(np.uint16)
         yield from _tagged(own, list(A.dealt(key, [low, high, ctx, doc, pos, kind], buckets)))
 
-    def settle(blobs: list[bytes]) -> pa.RecordBatch:
+    def settle(blobs: list[bytes], _: int) -> pa.RecordBatch:
         low, high, ctx, doc, pos, kind = A.unpack(blobs, ["uint32", "uint16", "uint64", "int64", "uint32", "uint8"])
         gram = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         # a spread gram and its plain marks are different keys
@@ -164,9 +174,8 @@ def gram_rows(docs: DataFrame, length: int, depth: int) -> DataFrame:
         many = np.repeat((lowest != highest) & (contexts > 1), size) if len(key) else new
         done = least < doc
         keep = (done | many | spread) & (kind != 2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(done[keep])], ["doc_id", "pos", "settled"]
-        )
+        state = np.where(done, 1, np.where(spread, 2, 0))
+        return _rows(doc[keep], pos[keep], state[keep], np.where(done, _ALL, 0)[keep])
 
     return _exchange(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "bucket int, blob binary"), settle)
 
@@ -177,8 +186,9 @@ def _exchange(tagged: DataFrame, work) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         blobs = t.column("blob").to_pylist()
         if t.column("kind")[0].as_py() < 0:
-            return pa.Table.from_batches([_rows(*A.unpack(blobs, ["int64", "int32"]), True)])
-        return pa.Table.from_batches([work(blobs)])
+            doc, pos, mask = A.unpack(blobs, ["int64", "int32", "int64"])
+            return pa.Table.from_batches([_rows(doc, pos, 1, mask)])
+        return pa.Table.from_batches([work(blobs, t.column("bucket")[0].as_py())])
 
     # finished rows travel in the same exchange, spread by their content
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("blob"), F.lit(1 << 30)).cast("int")).otherwise(F.col("bucket"))
@@ -186,98 +196,170 @@ def _exchange(tagged: DataFrame, work) -> DataFrame:
     return tagged.select(kind.alias("kind"), spread.alias("bucket"), "blob").groupBy("kind", "bucket").applyInArrow(run, _ROWS)
 
 
+def _sieved(docs: DataFrame, sieve, inside: bool) -> DataFrame:
+    """Documents whose id may be in the sieve, with the text compressed for an exchange, or the others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            found = A.passes(sieve.value, b.column(0))
+            b = b.filter(pa.array(found if inside else ~found))
+            texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(x) for x in texts] if inside else texts, pa.binary())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def _opened(texts: pa.Array) -> list[bytes]:
+    spread = zstandard.ZstdDecompressor().decompress
+    return [spread(x) if x else b"" for x in texts.to_pylist()]
+
+
 def window_rows(docs: DataFrame, open_grams: DataFrame, length: int, depth: int) -> DataFrame:
-    """Windows through the open grams that a smaller document has too: doc_id, pos (start), settled (true)."""
+    """Open grams whose windows a smaller document has too, as covered rows with a mask.
+
+    The context bytes of a gram go to the gram's bucket, where its windows are hashed and
+    compared. Frequent grams send the hashes of their windows instead, dealt by these.
+    """
     buckets = partitions(docs.sparkSession) * 2
-    wanted = open_grams.groupBy("doc_id").agg(F.collect_set("pos").alias("grams"))
+    side = length - depth
+    size = 2 * side + depth
+    grams = F.collect_list(F.when(F.col("state") == 0, F.col("pos")))
+    wanted = open_grams.groupBy("doc_id").agg(grams.alias("plain"), F.collect_list(F.when(F.col("state") == 2, F.col("pos"))).alias("frequent"))
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
+        plain: list[tuple[np.ndarray, ...]] = []
+        frequent: list[tuple[np.ndarray, ...]] = []
         waiting = 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            grams = b.column(2)
-            counts = grams.value_lengths().to_numpy(zero_copy_only=False)
-            flat = grams.flatten().to_numpy().astype(np.int64)
-            cut = np.r_[0, np.cumsum(counts)]
-            for first, rows, data, off in A.text_chunks(b.column(1)):
+            texts = pa.array(_opened(b.column(1)), pa.large_binary())
+            few, many = lists(b.column(2)), lists(b.column(3))
+            for first, rows, data, off in A.text_chunks(texts):
                 s = A.prefix_hash(data)
-                row = np.repeat(np.arange(rows), counts[first : first + rows])
-                at = flat[cut[first] : cut[first + rows]] + off[row]
-                mark = np.zeros(len(data) + 1, bool)
-                for k in range(length - depth + 1):
-                    start = at - k
-                    mark[start[(start >= off[row]) & (start + length <= off[row + 1])]] = True
-                start = np.flatnonzero(mark)
-                doc = np.searchsorted(off, start, side="right") - 1
-                parts.append((A.span_hash(s, start, start + length), ids[first + doc], (start - off[doc]).astype(np.uint32)))
-                waiting += len(start)
-            if waiting > FLUSH:
-                yield from flush(parts)
-                parts, waiting = [], 0
-        if waiting:
-            yield from flush(parts)
-
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, new, least = _first_of([h], doc)
-        h, doc, pos = h[order], doc[order], pos[order]
-        done = least < doc
-        yield from _tagged(_rows(doc[done], pos[done], True), list(A.dealt(h[~done], [h[~done], doc[~done], pos[~done]], buckets)))
+                for (flat, cut), out in ((few, plain), (many, frequent)):
+                    row = np.repeat(np.arange(rows), np.diff(cut[first : first + rows + 1]))
+                    at = flat[cut[first] : cut[first + rows]] + off[row]
+                    if not len(at):
+                        continue
+                    if out is plain:
+                        padded = np.r_[np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)]
+                        bytes_ = np.lib.stride_tricks.sliding_window_view(padded, size)[at]
+                        left = np.minimum(at - off[row], side).astype(np.uint8)
+                        right = np.minimum(off[row + 1] - at - depth, side).astype(np.uint8)
+                        gram = A.span_hash(s, at, at + depth)
+                        out.append((gram, ids[first + row], (at - off[row]).astype(np.uint32), left, right, np.ascontiguousarray(bytes_).view(f"V{size}").ravel()))
+                        waiting += 4 * len(at)
+                    else:
+                        mark = np.zeros(len(data) + 1, bool)
+                        for k in range(side + 1):
+                            start = at - k
+                            mark[start[(start >= off[row]) & (start + length <= off[row + 1])]] = True
+                        start = np.flatnonzero(mark)
+                        doc = np.searchsorted(off, start, side="right") - 1
+                        out.append((A.span_hash(s, start, start + length), ids[first + doc], (start - off[doc] + side).astype(np.uint32)))
+                        waiting += len(start)
+                if waiting > FLUSH:
+                    yield from flush(plain, frequent)
+                    plain, frequent, waiting = [], [], 0
+        yield from flush(plain, frequent)
+
+    def flush(plain: list[tuple[np.ndarray, ...]], frequent: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if plain:
+            columns = [np.concatenate(x) for x in zip(*plain, strict=True)]
+            yield from _tagged(None, [(2 * k, x) for k, x in A.dealt(A.mix(columns[0]), columns, buckets)])
+        if frequent:
+            h, doc, pos = (np.concatenate(x) for x in zip(*frequent, strict=True))
+            order, _, least = _first_of([h], doc)
+            h, doc, pos = h[order], doc[order], pos[order]
+            done = least < doc
+            columns = [h[~done], doc[~done], pos[~done]]
+            yield from _tagged(_rows(doc[done], pos[done], 1, 1), [(2 * k + 1, x) for k, x in A.dealt(columns[0], columns, buckets)])
+
+    def settle(blobs: list[bytes], bucket: int) -> pa.RecordBatch:
+        if bucket % 2:
+            h, doc, pos = A.unpack(blobs, ["uint64", "int64", "uint32"])
+            order, _, least = _first_of([h], doc)
+            done = least < doc[order]
+            return _rows(doc[order][done], pos[order][done], 1, 1)
+        gram, doc, pos, left, right, context = A.unpack(blobs, ["uint64", "int64", "uint32", "uint8", "uint8", f"V{size}"])
+        mask = np.zeros(len(gram), np.int64)
+        order = np.argsort(gram, kind="stable")
+        for part in _by_key(gram[order], order):
+            data = np.ascontiguousarray(context[part]).view(np.uint8)
+            s = A.prefix_hash(data)
+            for o in range(side + 1):
+                rows = np.flatnonzero((left[part] >= side - o) & (right[part] >= o))
+                start = rows * size + o
+                by, _, least = _first_of([gram[part][rows], A.span_hash(s, start, start + length)], doc[part][rows])
+                mask[part[rows[by[least < doc[part][rows][by]]]]] |= np.int64(1) << np.int64(o)
+        some = mask != 0
+        return _rows(doc[some], pos[some], 1, mask[some])
+
+    sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(open_grams.select("doc_id")))
+    joined = _sieved(docs, sieve, True).join(wanted, "doc_id").select("doc_id", "text", "plain", "frequent")
+    return _exchange(joined.mapInArrow(run, "bucket int, blob binary"), settle)
 
-    def settle(blobs: list[bytes]) -> pa.RecordBatch:
-        h, doc, pos = A.unpack(blobs, ["uint64", "int64", "uint32"])
-        order, _, least = _first_of([h], doc)
-        done = least < doc[order]
-        return _rows(doc[order][done], pos[order][done], True)
 
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "grams")
-    return _exchange(joined.mapInArrow(run, "bucket int, blob binary"), settle)
+def _by_key(key: np.ndarray, order: np.ndarray, rows: int = 10_000) -> Iterator[np.ndarray]:
+    """order in cuts of about so many rows that keep equal keys together; key is sorted."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    at = 0
+    for stop in [*starts[1:], len(key)]:
+        if stop - at >= rows or stop == len(key):
+            if stop > at:
+                yield order[at:stop]
+            at = stop
 
 
-def covered(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH) -> DataFrame:
-    """Per document with repeats: doc_id, grams (positions whose whole context is covered), starts (covered windows)."""
-    rows = materialize(gram_rows(docs, length, depth))
-    windows = window_rows(docs, rows.where(~F.col("settled")), length, depth)
-    both = rows.where("settled").select("doc_id", F.col("pos").alias("gram"), F.lit(None).cast("int").alias("start"))
-    both = both.unionByName(windows.select("doc_id", F.lit(None).cast("int").alias("gram"), F.col("pos").alias("start")))
-    return both.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"), F.collect_set("start").alias("starts"))
+def covered(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, hot_from: int = HOT) -> DataFrame:
+    """Covered windows by document: doc_id, runs of (pos, mask)."""
+    rows = materialize(gram_rows(docs, length, depth, hot_from))
+    windows = window_rows(docs, rows.where(F.col("state") != 1), length, depth)
+    both = rows.where(F.col("state") == 1).unionByName(windows)
+    return both.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("runs"))
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, depth: int = DEPTH,
+    hot_from: int = HOT,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (removed [start, end) bytes), kept (the remaining bytes), kept_sha256."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.join(covered(docs, length, depth), "doc_id", "left").select("doc_id", "text", "grams", "starts").mapInArrow(
-        _cut(length, depth), "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
-    )
+    found = materialize(covered(docs, length, depth, hot_from))
+    schema = "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
+    sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(found.select("doc_id")))
+    hit = _sieved(docs, sieve, True).join(found, "doc_id", "left").select("doc_id", "text", "runs")
+    rest = _sieved(docs, sieve, False)
+    return hit.mapInArrow(_cut(length, depth), schema).unionByName(rest.mapInArrow(_cut(length, depth), schema))
 
 
 def _cut(length: int, depth: int):
+    side = length - depth
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            plain = b.num_columns == 2
+            texts = b.column(1).to_pylist() if plain else _opened(b.column(1))
+            found = [None] * len(texts) if plain else b.column(2)
             out: list[tuple] = []
-            lists = []
-            for c in (b.column(2), b.column(3)):
-                n = c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = c.flatten().to_numpy().astype(np.int64)
-                lists.append((flat, np.r_[0, np.cumsum(n)]))
-            (grams, gcut), (starts, scut) = lists
             for r, text in enumerate(texts):
-                g, s = grams[gcut[r] : gcut[r + 1]], starts[scut[r] : scut[r + 1]]
-                if not len(g) and not len(s):
-                    out.append((len(text), none, none, text))
+                runs = None if plain or not found[r].is_valid else found[r].values
+                if runs is None or not len(runs) or len(text) < length:
+                    out.append((len(text), [], [], text))
                     continue
-                g, s = g[g < len(text)], s[s + length <= len(text)]
-                change = np.zeros(len(text) + 1, np.int64)
-                np.add.at(change, np.maximum(0, g - (length - depth)), 1)
-                np.add.at(change, np.minimum(len(text), g + length), -1)
-                np.add.at(change, s, 1)
-                np.add.at(change, s + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                pos, mask = (runs.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                opens = np.zeros(len(text) + 1, np.int64)
+                for o in range(side + 1):
+                    start = pos[(mask >> o) & 1 == 1] - side + o
+                    start = start[(start >= 0) & (start + length <= len(text))]
+                    opens[start] = 1
+                last = np.cumsum(opens)  # windows that start up to here
+                gone = last[:-1] - np.r_[np.zeros(length, np.int64), last][: len(text)] > 0
                 edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out.append((len(text), np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), kept))
@@ -285,7 +367,7 @@ def _cut(length: int, depth: int):
                 [
                     b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32())),
                     pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.binary()),
-                    pa.array([hashlib.sha256(x[3]).hexdigest() for x in out]),
+                    pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string()),
                 ],
                 ["doc_id", "n_bytes", "starts", "ends", "kept", "kept_sha256"],
             )
