@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
+from . import decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -94,4 +98,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
