@@ -99,3 +99,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the operators that SQL can express whole."""
+    return {"op2_license_scan": licenses.scan_sql()}
