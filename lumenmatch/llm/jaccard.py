@@ -37,7 +37,7 @@ WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 18
 BLOCK_TOKENS = 64_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 HOT_FACTOR = 8
 EXTRA = 4
 
@@ -307,11 +307,18 @@ def _open(percent: int):
                 union, starts, member = _postings(sets)
                 sizes = np.array([len(s) for s in sets])
                 wanted = set(asked)
+                root = np.arange(len(sids2))  # one edge a member says what all links of these blocks connect
+                met: list[tuple[int, int]] = []
                 for sid, q in zip(sids1, tokens1, strict=True):
                     if sid in wanted:
-                        for k in _linked(np.frombuffer(q, np.uint64), union, starts, member, sizes, percent):
-                            us.append(sid)
-                            vs.append(sids2[k])
+                        near = _linked(np.frombuffer(q, np.uint64), union, starts, member, sizes, percent)
+                        if len(near):
+                            old = np.unique(root[near])
+                            root[np.isin(root, old)] = old[0]
+                            met.append((sid, int(near[0])))
+                ends = [(sid, sids2[root[k]]) for sid, k in met] + [(sids2[k], sids2[r]) for k, r in enumerate(root) if r != k]
+                us += [x for x, _ in ends]
+                vs += [x for _, x in ends]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
