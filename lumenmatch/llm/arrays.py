@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SIEVE_BITS = 26
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -60,18 +60,20 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
     """Slices of a string column as (first row, rows, bytes, offsets), about limit bytes each; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if column.null_count:
+        column = column.cast(pa.large_binary() if wide else pa.binary()).fill_null(b"")
     n = len(column)
     if not n:
         return
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1]
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(off, off[row] + limit, side="right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(off, int(off[row]) + limit, side="right")) - 1)
         stop = min(stop, n)
-        yield row, stop - row, raw[off[row] : off[stop]], off[row : stop + 1] - off[row]
+        yield row, stop - row, raw[off[row] : off[stop]], off[row : stop + 1].astype(np.int64) - int(off[row])
         row = stop
 
 

@@ -38,7 +38,7 @@ from .common import materialize, partitions
 
 LENGTH = 50
 DEPTH = 16
-FLUSH = 1_500_000
+FLUSH = 400_000
 HOT = 64
 _TOP = np.uint64((1 << 64) - 1)
 
