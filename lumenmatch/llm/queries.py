@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
-from .common import table
+from .common import LOWER, NOT_WORD_RUN, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,37 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
 
 
+_LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in URL_RULES)
+
+OP3_SQL = f"""
+WITH rules(h, p, v, rule) AS (VALUES {_RULES_SQL}),
+rest AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS k FROM pages),
+parts AS (SELECT page_id,
+  CASE WHEN k > 0 THEN {_LOWERED.format("regexp_extract(substr(url, k + 3), '^([^/?#]*)', 1)")} ELSE '' END AS host,
+  CASE WHEN k > 0 THEN regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM rest),
+fits AS (SELECT page_id, host, path, rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(h) DESC, rule) AS n
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+_WORDS_SQL = "list_filter(regexp_split_to_array({}, '{}'), lambda x: x <> '')".format(_LOWERED.format("coalesce(text, '')"), NOT_WORD_RUN)
+
+OP7_SQL = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+iw AS (SELECT item, w, least(len(w), {decontaminate.WIDTH}) AS n FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS x FROM (SELECT item, w, n, unnest(range(0, CAST(len(w) - n + 1 AS BIGINT))) AS k FROM iw)),
+d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+starts AS (SELECT doc_id, w, n, unnest(range(0, CAST(len(w) - n + 1 AS BIGINT))) AS k FROM d JOIN (SELECT DISTINCT n FROM windows) ON len(w) >= n),
+hits AS (SELECT doc_id, k, s.n, item FROM starts s JOIN windows v ON s.n = v.n AND array_to_string(w[k + 1 : k + s.n], ' ') = x),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express whole."""
-    return {"op2_license_scan": licenses.scan_sql()}
+    return {"op2_license_scan": licenses.scan_sql(), "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL}
