@@ -70,3 +70,8 @@ def without_query(url: Column) -> Column:
 def extension(url: Column) -> Column:
     """The last dot segment of a URL or path without its query."""
     return F.substring_index(without_query(url), ".", -1)
+
+
+def base64_text(data: Column) -> Column:
+    """Base64 without line breaks."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))

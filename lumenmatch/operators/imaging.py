@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import crop_box, large_enough
-from ..functions.text import clean_text
+from ..functions.text import base64_text, clean_text
 
 # Fixed values of the filter chain.
 CONTRAST = 0.73
@@ -131,5 +131,5 @@ def extract_text(snips: DataFrame, factory: Callable[[], Extractor], keep_spaces
 
 def base64_images(snips: DataFrame) -> DataFrame:
     """One row per id with the four regions as base64 text."""
-    one = lambda r: F.max(F.when(F.col("region") == r, F.base64("data"))).alias(f"{r}_image")
+    one = lambda r: F.max(F.when(F.col("region") == r, base64_text(F.col("data")))).alias(f"{r}_image")
     return snips.groupBy("id").agg(*[one(r) for r in ("flavor", "art", "type", "name")])

@@ -166,7 +166,6 @@ _DICE_SQL = (
     "round(CASE WHEN hash = card_hash THEN 1.0 ELSE 2.0 * list_sum(list_transform(list_distinct(pa), lambda g: least(len(list_filter(pa, lambda x: x = g)), "
     "len(list_filter(pb, lambda x: x = g))))) / (length(hash) + length(card_hash) - 2) END, 2)"
 )
-_COMPARED = f"two AS two_bit, four AS four_bit"
 _SCORES_SQL = f"""pairs AS (SELECT *, {_PAIRS.format(h='hash')} AS pa, {_PAIRS.format(h='card_hash')} AS pb FROM joined),
 scored AS (SELECT *, {_slot_sql(2)} AS two, {_slot_sql(4)} AS four, CAST({_DICE_SQL} AS DOUBLE) AS string FROM pairs)"""
 COMPARED_SQL = f"{HASHES_SQL}, {STORED_SQL}, joined AS (SELECT vec_id, h.label, hash, set_name, card_hash FROM hashes h JOIN stored s ON h.label = s.label), {_SCORES_SQL}"
@@ -431,13 +430,16 @@ def token_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.has_space(F.col("text")).alias("spaced"), F.size(tokens).cast("long").alias("n_tokens"), F.get(tokens, F.lit(0)).alias("first"))
 
 
-@registered("SELECT page_id, split_part(url, '?', 1) AS bare, list_last(string_split(split_part(url, '?', 1), '.')) AS ext, list_last(string_split(split_part(url, '?', 1), '.')) = 'html' AS is_html FROM pages".replace("list_last(string_split(split_part(url, '?', 1), '.'))", "string_split(split_part(url, '?', 1), '.')[-1]"))
+_EXT_SQL = "string_split(split_part(url, '?', 1), '.')[-1]"
+
+
+@registered(f"SELECT page_id, split_part(url, '?', 1) AS bare, {_EXT_SQL} AS ext, {_EXT_SQL} = 'html' AS is_html FROM pages")
 def url_strip_ext(spark: SparkSession, d: str) -> DataFrame:
     ext = text.extension(F.col("url"))
     return table(spark, d, "pages").select("page_id", text.without_query(F.col("url")).alias("bare"), ext.alias("ext"), (ext == "html").alias("is_html"))
 
 
-@registered("SELECT p_partkey, replace(p_name, ' ', '%20') AS escaped, replace(replace(p_brand, '#', '#'), ' ', '%20') AS uri FROM part")
+@registered("SELECT p_partkey, replace(p_name, ' ', '%20') AS escaped, replace(p_brand, ' ', '%20') AS uri FROM part")
 def url_space_escape(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d).select("p_partkey", text.escape_spaces(F.col("p_name")).alias("escaped"), text.encode_uri(F.col("p_brand")).alias("uri"))
 
@@ -449,7 +451,7 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT item_id, base64(encode(text)) AS image FROM benchmark")
 def base64_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.base64(F.encode("text", "UTF-8")).alias("image"))
+    return table(spark, d, "benchmark").select("item_id", text.base64_text(F.encode("text", "UTF-8")).alias("image"))
 
 
 def _box_sql(region: str) -> str:
@@ -469,10 +471,10 @@ def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rules() -> list[validation.Rule]:
-    return [validation.text_rule("name", 3, 10), validation.number_rule("size", 5), validation.number_rule("price", 950)]
+    return [validation.text_rule("name", 3, 10), validation.number_rule("size", 5), validation.number_rule("price", 905)]
 
 
-_CHECKS = {"name must have 3..10 characters": "length(p_name) BETWEEN 3 AND 10", "size must be at least 5": "p_size >= 5", "price must be at least 950": "p_retailprice >= 950"}
+_CHECKS = {"name must have 3..10 characters": "length(p_name) BETWEEN 3 AND 10", "size must be at least 5": "p_size >= 5", "price must be at least 905": "p_retailprice >= 905"}
 
 
 def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -513,4 +515,4 @@ def image_hash(spark: SparkSession, d: str) -> DataFrame:
 def image_snippets(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.imaging import snippets
 
-    return snippets(_images(spark, d)).select("id", "region", "width", "height", F.base64("data").alias("data"))
+    return snippets(_images(spark, d)).select("id", "region", "width", "height", text.base64_text(F.col("data")).alias("data"))
