@@ -40,9 +40,17 @@ LENGTH = 50
 DEPTH = 16
 FLUSH = 400_000
 HOT = 64
+SLICE = 1000
 _TOP = np.uint64((1 << 64) - 1)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, which bounds what a task holds at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, SLICE):
+            yield b.slice(a, SLICE)
+
+
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     """op over every width consecutive values; len(x) - width + 1 values."""
     if len(x) < width:
@@ -201,7 +209,7 @@ def _sieved(docs: DataFrame, sieve, inside: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in _sliced(batches):
             found = A.passes(sieve.value, b.column(0))
             b = b.filter(pa.array(found if inside else ~found))
             texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
@@ -235,7 +243,7 @@ def window_rows(docs: DataFrame, open_grams: DataFrame, length: int, depth: int)
         plain: list[tuple[np.ndarray, ...]] = []
         frequent: list[tuple[np.ndarray, ...]] = []
         waiting = 0
-        for b in batches:
+        for b in _sliced(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = pa.array(_opened(b.column(1)), pa.large_binary())
             few, many = lists(b.column(2)), lists(b.column(3))
@@ -342,7 +350,7 @@ def _cut(length: int, depth: int):
     side = length - depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             plain = b.num_columns == 2
             texts = b.column(1).to_pylist() if plain else _opened(b.column(1))
             found = [None] * len(texts) if plain else b.column(2)
