@@ -5,8 +5,9 @@ documents that carry it are counted; a line on more than
 ``max(min_documents, share * documents of the host)`` is boilerplate and removed. A
 document of whose words more than ``depleted`` percent lie in removed lines is rejected.
 
-Copies must not look like boilerplate: a document stands for its smallest line hash (for
-that very line the second smallest), so copies that share it count as one document.
+Copies must not look like boilerplate: documents with equal texts count as one, and the
+share is above a third, so that a group of near copies that makes up a third of a host does
+not count either.
 
 Defined results: null text is empty, has zero counts and fails the base rule. A null host
 is a host of its own. Repeated rows get the same verdict each. An empty table gives an
@@ -24,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCUMENTS = 20
-SHARE = 0.10
+SHARE = 0.35
 DEPLETED_PERCENT = 70
 
 
@@ -70,7 +71,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per line that has a word: doc_id, text_key, host, pos, h, words, sig, doc_sig."""
+    """One row per line that has a word: doc_id, text_key, host, pos, h, words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), _text_key(text).alias("text_key"),
@@ -82,22 +83,14 @@ def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ),
         ).alias("_l"),
     )
-    hashes = F.sort_array(F.array_distinct(F.transform(F.filter("_l", lambda x: x["words"] > 0), lambda x: x["h"])))
-    d = d.withColumn("_m", F.slice(hashes, 1, 2))
-    first, second = F.get("_m", F.lit(0)), F.get("_m", F.lit(1))
-    d = d.select("doc_id", "text_key", "host", first.alias("_a"), second.alias("_b"), F.posexplode("_l").alias("pos", "_x"))
-    h = F.col("_x")["h"]
-    return d.where(F.col("_x")["words"] > 0).select(
-        "doc_id", "text_key", "host", "pos", h.alias("h"), F.col("_x")["words"].alias("words"),
-        F.when(h == F.col("_a"), F.coalesce("_b", "text_key")).otherwise(F.col("_a")).alias("sig"),
-        F.col("_a").alias("doc_sig"),
-    )
+    d = d.select("doc_id", "text_key", "host", F.posexplode("_l").alias("pos", "_x")).where(F.col("_x")["words"] > 0)
+    return d.select("doc_id", "text_key", "host", "pos", F.col("_x")["h"].alias("h"), F.col("_x")["words"].alias("words"))
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """Boilerplate lines: host, h. Two aggregations, both combined before the shuffle."""
-    hosts = lines.groupBy("host", "doc_sig").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = lines.groupBy("host", "h", "sig").agg(F.lit(1).alias("_")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+    hosts = lines.groupBy("host", "text_key").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    counts = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("_")).groupBy("host", "h").agg(F.count("*").alias("docs"))
     counts = counts.where(F.col("docs") > min_documents)
     joined = counts.alias("c").join(hosts.alias("n"), F.col("c.host").eqNullSafe(F.col("n.host")))
     return joined.where(F.col("docs") > share * F.col("host_docs")).select(F.col("c.host").alias("host"), "h")
