@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import extension
 from ..schemas import CARD
 
-_ENVELOPE = T.StructType([T.StructField("data", T.ArrayType(T.StructType.fromDDL(CARD)))])
+_ENVELOPE = f"data array<struct<{CARD}>>"
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
