@@ -8,8 +8,8 @@ Candidates are partitioned into groups (by their most shared shingle, cut into b
 bounded size); inside a block all links are found. For each block its token union is
 stored; the token-group matrix (shared shingle, block) bounds what a member can have in
 common with a block. Only blocks with members left are opened, and there the overlap with
-the token union prunes again. A block that is wholly in a member's component already is
-not opened for it.
+the token union prunes again. Of two components only the smaller one's members ask, so a
+large family is not compared with itself.
 
 A family of near copies costs rows in proportion to its size, never its pairs. Shingles
 that occur very often are spread over all tasks and treated as shared without a count.
@@ -36,7 +36,7 @@ from .graph import components
 WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 18
-BLOCK_TOKENS = 64_000
+BLOCK_TOKENS = 200_000
 FLUSH = 1_000_000
 HOT_FACTOR = 8
 EXTRA = 4
@@ -276,18 +276,23 @@ def _block(percent: int):
 
 
 def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks g1, b1 with members (asked) that share enough prefix tokens with block g2, b2 and may not be connected yet."""
+    """Blocks g1, b1 with members (asked) that share enough prefix tokens with block g2, b2 and may not be connected yet.
+
+    Of two components only the smaller one's members ask: a block is of use to a member only
+    if it holds a larger component than the member's own.
+    """
     member = placed.join(labels, placed.sid == labels.node, "left").select(
         "sid", "grp", "block", "least", F.coalesce("label", "sid").alias("label")
     )
-    whole = member.groupBy("grp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    member = member.join(member.groupBy("label").agg(F.count("*").alias("size")), "label")
+    member = member.withColumn("rank", F.struct("size", "label")).drop("size")
+    whole = member.groupBy("grp", "block").agg(F.max("rank").alias("top"))
     rows = materialize(shared.select("token", "sid").join(member.join(whole, ["grp", "block"]), "sid"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h"))
     rows = rows.join(mixed.select("token"), "token", "left_semi")
-    matrix = rows.select("token", *[F.col(c).alias(c + "2") for c in ("grp", "block", "lo", "hi")]).distinct()
-    other = (F.col("grp") < F.col("grp2")) | ((F.col("grp") == F.col("grp2")) & (F.col("block") < F.col("block2")))
-    same = (F.col("lo2") == F.col("hi2")) & (F.col("lo2") == F.col("label"))
-    met = rows.join(matrix, "token").where(other & ~same)
+    matrix = rows.select("token", *[F.col(c).alias(c + "2") for c in ("grp", "block", "top")]).distinct()
+    other = (F.col("grp") != F.col("grp2")) | (F.col("block") != F.col("block2"))
+    met = rows.join(matrix, "token").where(other & (F.col("top2") > F.col("rank")))
     met = met.groupBy("grp", "block", "grp2", "block2", "sid").agg(F.count("*").alias("k"), F.first("least").alias("least"))
     met = met.where(F.col("k") >= F.col("least"))
     return met.groupBy(F.col("grp").alias("g1"), F.col("block").alias("b1"), F.col("grp2").alias("g2"), F.col("block2").alias("b2")).agg(
