@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, small_side
+from .common import materialize, partitions, small_batches, small_side
 from .graph import components
 
 WIDTH = 5
@@ -184,6 +184,7 @@ def component_ids(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(classes_of(docs, width))
     classes = rows.where(F.col("n_shingles") > 0).groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("rep"))

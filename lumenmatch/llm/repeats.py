@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions
+from .common import materialize, partitions, small_batches
 
 LENGTH = 50
 DEPTH = 16
@@ -337,6 +337,7 @@ def remove_repeats(
     hot_from: int = HOT,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (removed [start, end) bytes), kept (the remaining bytes), kept_sha256."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(covered(docs, length, depth, hot_from))
     schema = "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
