@@ -7,7 +7,8 @@ weights; each round prices configurations by a knapsack dynamic program over the
 The fractional solution is rounded down to whole sequences, and what is left is packed best
 fit, longest first, a length and a class of equal sequences at a time. The plan says for
 each length which ranks go where; pieces are ranked by length in the cluster, with counts
-per (length, bucket), so a length that a third of all pieces share stays spread.
+per (length, bucket), at most capacity x BUCKETS of them, so a length that a third of all
+pieces share stays spread.
 
 Defined results: null text is empty and gives one piece with the closing id only. Repeated
 rows are packed each. An empty table gives an empty result. Extra columns are ignored.
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions
+from .common import materialize
 
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 300
 EPSILON = 0.3
 CACHE_WORDS = 600_000
+BUCKETS = 256
 _KEY = 1 << 40
 
 
@@ -255,8 +257,7 @@ def _table(sequences: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...
 def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """found (with doc_id, piece, length) plus sequence_id and offset."""
     spark = found.sparkSession
-    buckets = partitions(spark)
-    found = found.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    found = found.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
     counts = materialize(found.groupBy("length", "_b").count())
     demand = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     table = spark.sparkContext.broadcast(_table(plan(demand, capacity, rounds)))
