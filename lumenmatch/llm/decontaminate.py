@@ -113,11 +113,9 @@ def remove_spans(
     j = docs.join(small_side(hits), F.col(id_col).eqNullSafe(F.col("_id")) & (_text_key(text) == F.col("_k")), "left")
     words = F.array_remove(F.split(text, NOT_WORD_RUN.replace(r"\x60", r"\x40\x5B-\x60")), "")
     gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    # gaps[k] stands before word k, also when it is empty
-    piece = lambda k: F.concat(F.get(gaps, k), F.coalesce(F.get(words, k), F.lit("")))
+    # gap k stands before word k, also when it is empty; the last gap has no word
+    pieces = F.zip_with(gaps, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
     inside = lambda k: F.exists("_spans", lambda s: (k >= s["at"]) & (k < s["end"]))
-    left = F.transform(
-        F.sequence(F.lit(0), F.size(words)), lambda k: F.when(inside(k), F.lit("")).otherwise(piece(k))
-    )
+    left = F.filter(pieces, lambda piece, k: ~inside(k))
     cut = F.when(F.col("_spans").isNotNull(), F.array_join(left, "")).otherwise(text)
     return j.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
