@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -39,8 +41,8 @@ def dice(a: Column, b: Column) -> Column:
     a, b = F.regexp_replace(a, r"\s+", ""), F.regexp_replace(b, r"\s+", "")
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
     count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    pa, pb = pairs(a), pairs(b)
-    common = F.aggregate(F.array_distinct(pa), F.lit(0), lambda acc, g: acc + F.least(count(pa, g), count(pb, g)))
+    both = F.struct(let(a, pairs).alias("a"), let(b, pairs).alias("b"))
+    common = let(both, lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, g: acc + F.least(count(p["a"], g), count(p["b"], g))))
     score = F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0)
     return F.round(score.otherwise(2.0 * common / (F.length(a) + F.length(b) - 2)), 2)
 

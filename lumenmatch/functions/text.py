@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +32,20 @@ def gram_text(text: Column, n: int) -> Column:
     return F.rpad(v, F.greatest(F.length(v), F.lit(n)), "-")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, although body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gram_counts(text: Column, n: int) -> Column:
     """array<struct<gram, ct>> of the distinct n-grams of a text."""
-    v = gram_text(text, n)
-    grams = F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: F.substring(v, i, F.lit(n)))
-    return F.transform(
-        F.array_distinct(grams),
-        lambda g: F.struct(g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).cast("double").alias("ct")),
-    )
+
+    def counted(grams: Column) -> Column:
+        count = lambda g: F.size(F.filter(grams, lambda x: x == g)).cast("double")
+        return F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("gram"), count(g).alias("ct")))
+
+    grams = lambda v: F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: F.substring(v, i, F.lit(n)))
+    return let(let(gram_text(text, n), grams), counted)
 
 
 def norm(counts: Column) -> Column:
