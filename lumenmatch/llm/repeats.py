@@ -38,7 +38,7 @@ from .common import materialize, partitions, small_batches
 
 LENGTH = 50
 DEPTH = 16
-FLUSH = 400_000
+FLUSH = 200_000
 HOT = 64
 SLICE = 1000
 _TOP = np.uint64((1 << 64) - 1)
@@ -49,6 +49,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for a in range(0, b.num_rows, SLICE):
             yield b.slice(a, SLICE)
+        pa.default_memory_pool().release_unused()
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -204,16 +205,15 @@ def _exchange(tagged: DataFrame, work) -> DataFrame:
     return tagged.select(kind.alias("kind"), spread.alias("bucket"), "blob").groupBy("kind", "bucket").applyInArrow(run, _ROWS)
 
 
-def _sieved(docs: DataFrame, sieve, inside: bool) -> DataFrame:
-    """Documents whose id may be in the sieve, with the text compressed for an exchange, or the others as they are."""
+def _sieved(docs: DataFrame, sieve) -> DataFrame:
+    """Documents whose id may be in the sieve, with the text compressed for an exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in _sliced(batches):
-            found = A.passes(sieve.value, b.column(0))
-            b = b.filter(pa.array(found if inside else ~found))
+            b = b.filter(pa.array(A.passes(sieve.value, b.column(0))))
             texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(x) for x in texts] if inside else texts, pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(x) for x in texts], pa.binary())], ["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
 
@@ -309,7 +309,7 @@ def window_rows(docs: DataFrame, open_grams: DataFrame, length: int, depth: int)
         return _rows(doc[some], pos[some], 1, mask[some])
 
     sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(open_grams.select("doc_id")))
-    joined = _sieved(docs, sieve, True).join(wanted, "doc_id").select("doc_id", "text", "plain", "frequent")
+    joined = _sieved(docs, sieve).join(wanted, "doc_id").select("doc_id", "text", "plain", "frequent")
     return _exchange(joined.mapInArrow(run, "bucket int, blob binary"), settle)
 
 
@@ -342,9 +342,13 @@ def remove_repeats(
     found = materialize(covered(docs, length, depth, hot_from))
     schema = "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
     sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(found.select("doc_id")))
-    hit = _sieved(docs, sieve, True).join(found, "doc_id", "left").select("doc_id", "text", "runs")
-    rest = _sieved(docs, sieve, False)
-    return hit.mapInArrow(_cut(length, depth), schema).unionByName(rest.mapInArrow(_cut(length, depth), schema))
+    hit = _sieved(docs, sieve).join(found, "doc_id", "left").select("doc_id", "text", "runs")
+    whole = _cut(length, depth)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return whole(b.filter(pa.array(~A.passes(sieve.value, b.column(0)))) for b in batches)
+
+    return hit.mapInArrow(whole, schema).unionByName(docs.mapInArrow(untouched, schema))
 
 
 def _cut(length: int, depth: int):
@@ -353,7 +357,7 @@ def _cut(length: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             plain = b.num_columns == 2
-            texts = b.column(1).to_pylist() if plain else _opened(b.column(1))
+            texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist() if plain else _opened(b.column(1))
             found = [None] * len(texts) if plain else b.column(2)
             out: list[tuple] = []
             for r, text in enumerate(texts):
