@@ -5,9 +5,12 @@ documents that carry it are counted; a line on more than
 ``max(min_documents, share * documents of the host)`` is boilerplate and removed. A
 document of whose words more than ``depleted`` percent lie in removed lines is rejected.
 
-Copies must not look like boilerplate: documents with equal texts count as one, and the
-share is above a third, so that a group of near copies that makes up a third of a host does
-not count either.
+Copies must not look like boilerplate: documents with equal texts count as one, and so does
+a group of near copies. Lines on enough texts are candidates. A text that carries some stands
+for the least hashes of its word pairs: of the rest of its lines if most of their pairs are in
+no candidate of the host, else (the rest is edited candidates, or nothing) of the whole text.
+Texts that share at least two of these hashes with a group of a quarter of the threshold or
+more count as one with it; smaller groups cannot lift a line over the threshold alone.
 
 Defined results: null text is empty, has zero counts and fails the base rule. A null host
 is a host of its own. Repeated rows get the same verdict each. An empty table gives an
@@ -19,14 +22,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, blank_words, small_side
+from .common import BLANK_RUN, BLANKS, BROADCAST_ROWS, blank_words, materialize, small_side
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCUMENTS = 20
-SHARE = 0.35
+SHARE = 0.03
 DEPLETED_PERCENT = 70
+HOSTS = 2000  # rows with arrays that are still broadcast
+GROUP_PART = 4
+GROUP_HASHES = 2
+# Masks that give a hash four orders.
+MASKS = (0, 0x5BD1E995A3C59AC3, 0x27D4EB2F165667C5, -0x61C8864680B583EB)
 
 
 def _text_key(text: Column) -> Column:
@@ -70,30 +78,85 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _normal(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(line), BLANK_RUN, " "))
+
+
+def _normal_lines(text: Column) -> Column:
+    """The lines with a word, normalised, and their hashes."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    return F.transform(F.transform(lines, _normal), lambda x: F.struct(x.alias("line"), F.xxhash64(x).alias("h")))
+
+
 def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per line that has a word: doc_id, text_key, host, pos, h, words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), _text_key(text).alias("text_key"),
-        F.transform(
-            F.split(text, "\n"),
-            lambda x: F.struct(
-                F.xxhash64(F.lower(F.regexp_replace(F.trim(x), BLANK_RUN, " "))).alias("h"),
-                F.size(blank_words(x)).alias("words"),
-            ),
-        ).alias("_l"),
+        F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(blank_words(x)).alias("words"))).alias("_l"),
     )
     d = d.select("doc_id", "text_key", "host", F.posexplode("_l").alias("pos", "_x")).where(F.col("_x")["words"] > 0)
     return d.select("doc_id", "text_key", "host", "pos", F.col("_x")["h"].alias("h"), F.col("_x")["words"].alias("words"))
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """Boilerplate lines: host, h. Two aggregations, both combined before the shuffle."""
-    hosts = lines.groupBy("host", "text_key").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("_")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+def _pairs(words: Column) -> Column:
+    """Hashes of each word with the one before; words must be a column, not an expression."""
+    return F.transform(words, lambda w, i: F.xxhash64(F.get(words, i - 1), w))
+
+
+def _same_host(a: str, b: str) -> Column:
+    return F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host"))
+
+
+def _stand_ins(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Per host and text with candidates: their hashes (has), the least hashes of its word pairs (sig), limit."""
+    sample = small_side(found.select("sample").distinct())
+    known = texts.join(sample, F.col("text_key") == F.col("sample"), "left_semi").select("host", F.explode(_normal_lines(F.col("_t"))).alias("_x"))
+    known = known.select("host", F.col("_x")["h"].alias("h"), blank_words(F.col("_x")["line"]).alias("_w")).alias("k")
+    known = known.join(F.broadcast(found).alias("f") if found.count() <= BROADCAST_ROWS else found.alias("f"), _same_host("k", "f") & (F.col("k.h") == F.col("f.h")))
+    known = known.select("k.host", F.explode(_pairs(F.col("_w"))).alias("_g")).distinct().groupBy("host").agg(F.collect_list("_g").alias("_known"))
+    hosts = found.groupBy("host").agg(F.collect_list("h").alias("_cands"), F.max("limit").alias("limit")).alias("c")
+    hosts = hosts.join(known.alias("n"), _same_host("c", "n")).select("c.host", "_cands", "limit", "_known")
+    d = texts.alias("t").join(small_side(hosts, HOSTS).alias("c"), _same_host("t", "c")).select(
+        "t.host", "text_key", "_t", "_cands", "_known", "limit", _normal_lines(F.col("_t")).alias("_l")
+    )
+    d = d.withColumn("has", F.array_intersect(F.transform("_l", lambda x: x["h"]), "_cands")).where(F.size("has") > 0)
+    rest = F.filter("_l", lambda x: ~F.array_contains("has", x["h"]))
+    d = d.withColumn("_w", blank_words(F.array_join(F.transform(rest, lambda x: x["line"]), "\n")))
+    d = d.withColumn("_r", _pairs(F.col("_w"))).withColumn("_own", F.size(F.array_except("_r", "_known")))
+    whole = blank_words(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
+    d = d.withColumn("_v", F.when(2 * F.col("_own") <= F.size(F.array_distinct("_r")), whole))
+    d = d.withColumn("_g", F.when(F.col("_v").isNull(), F.col("_r")).otherwise(_pairs(F.col("_v"))))
+    least = lambda m: F.array_min(F.transform("_g", lambda g: g.bitwiseXOR(F.lit(m))))
+    return d.select("host", "text_key", "has", F.array(*map(least, MASKS)).alias("sig"), "limit").dropDuplicates(["host", "text_key"])
+
+
+def frequent_lines(
+    docs: DataFrame, lines: DataFrame, text_col: str = "text", host_col: str = "source",
+    min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
+) -> DataFrame:
+    """Boilerplate lines: host, h. Candidates by distinct texts, then counted by groups of near copies."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(host_col).alias("host"), _text_key(text).alias("text_key"), text.alias("_t"))
+    hosts = texts.where(F.translate("_t", BLANKS, "") != "").groupBy("host", "text_key").agg(F.lit(1).alias("_"))
+    hosts = hosts.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), share * F.count("*")).alias("limit"))
+    counts = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("_"))
+    counts = counts.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("text_key").alias("sample"))
     counts = counts.where(F.col("docs") > min_documents)
-    joined = counts.alias("c").join(hosts.alias("n"), F.col("c.host").eqNullSafe(F.col("n.host")))
-    return joined.where(F.col("docs") > share * F.col("host_docs")).select(F.col("c.host").alias("host"), "h")
+    joined = counts.alias("c").join(hosts.alias("n"), _same_host("c", "n")).where(F.col("docs") > F.col("limit"))
+    found = materialize(joined.select("c.host", "h", "sample", "limit"))
+    stand = materialize(_stand_ins(texts, found))
+    group = stand.select("host", "limit", F.explode("sig").alias("s")).groupBy("host", "s").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
+    group = group.where((F.col("n") > 1) & (GROUP_PART * F.col("n") >= F.col("limit")))
+    group = small_side(group.groupBy("host").agg(F.collect_list("s").alias("_groups")), HOSTS)
+    votes = stand.alias("d").join(group.alias("g"), _same_host("d", "g"), "left").select("d.*", F.array_intersect("sig", "_groups").alias("_in"))
+    votes = votes.select(
+        "host", "limit", F.explode("has").alias("h"),
+        F.when(F.size("_in") >= GROUP_HASHES, F.get("_in", F.lit(0))).otherwise(F.col("text_key")).alias("vote"),
+    )
+    votes = votes.groupBy("host", "h", "vote").agg(F.max("limit").alias("limit"))
+    votes = votes.groupBy("host", "h").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
+    return votes.where(F.col("n") > F.col("limit")).select("host", "h")
 
 
 def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -115,7 +178,7 @@ def judge(
 ) -> DataFrame:
     """Per row of docs: the base counts, base_failed, removed_words, positions and kept."""
     lines = host_lines(docs, id_col, text_col, host_col)
-    frequent = small_side(frequent_lines(lines, min_documents, share))
+    frequent = small_side(frequent_lines(docs, lines, text_col, host_col, min_documents, share))
     removed = removed_lines(lines, frequent)
     stats = base_counts(docs, id_col, text_col)
     joined = stats.alias("s").join(
@@ -137,7 +200,7 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id and the text without boilerplate lines, for the documents that have some."""
     lines = host_lines(docs, id_col, text_col, host_col)
-    removed = removed_lines(lines, small_side(frequent_lines(lines))).select(
+    removed = removed_lines(lines, small_side(frequent_lines(docs, lines, text_col, host_col))).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), "positions"
     )
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))

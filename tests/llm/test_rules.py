@@ -3,7 +3,7 @@ import re
 
 from lumenmatch.llm import decontaminate, licenses, quality_rules, url_filter
 
-from .conftest import SCHEMA, rows_of, sentence
+from .conftest import SCHEMA, edited, rows_of, sentence
 
 
 def words_of(t):
@@ -48,6 +48,20 @@ def test_boilerplate_documents_are_rejected_and_copies_are_not(spark, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_line_on_a_tenth_of_a_host_is_boilerplate_and_near_copies_are_not(spark):
+    r = random.Random(3)
+    own = lambda n: [sentence(r, 12) for _ in range(n)]
+    texts = [own(6) for _ in range(240)]
+    line, base = sentence(r, 20), own(8)
+    for k in range(30):
+        texts[k].insert(k % 7, line)
+    rows = [(k, "\n".join(t), "site") for k, t in enumerate(texts)]
+    rows += [(1000 + k, "\n".join(edited(r, x, 0.02) for x in base), "site") for k in range(120)]
+    got = {v.doc_id: v for v in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].removed_words == (20 if k < 30 else 0) for k in range(240))
+    assert all(got[1000 + k].kept and got[1000 + k].removed_words == 0 for k in range(120))
+
+
 def items(spark, texts):
     return spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "item_id long, text string, h int")
 
