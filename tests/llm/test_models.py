@@ -89,6 +89,38 @@ def test_network_learns_held_out_findings():
     assert (p[y[held] == 0] >= net.threshold).mean() <= 0.02
 
 
+def other_secret(r, k):
+    some = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(a) for _ in range(n))
+    return [f"ghp_{some(36)}", f"eyJ{some(17)}.{some(40)}.{some(30)}", some(44)][k % 3]
+
+
+def test_secrets_of_other_kinds_are_added_and_mail_is_not(spark):
+    r = random.Random(9)
+    rows, kind = [], {}
+    for k in range(480):
+        kind[k] = ("base", "other", "mail", "plain")[k % 4]
+        word = {"base": planted(r, k // 4), "other": other_secret(r, k // 4), "mail": f"{sentence(r, 1)}{sentence(r, 1)}.{k}@mail{k % 9}.example.com", "plain": ""}
+        rows.append((k, f"{sentence(r, 12)} {word[kind[k]]} {sentence(r, 12)}"))
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
+    share = lambda name: sum(any(s.kind == "model" for s in got[k]) for k in got if kind[k] == name) / 120
+    assert share("other") >= 0.9 and share("mail") <= 0.05 and share("plain") <= 0.02
+
+
+def test_threshold_keeps_the_recall_and_copies_do_not_fill_the_sample(spark):
+    import numpy as np
+
+    net, r = secrets.Network(), np.random.default_rng(1)
+    y = (np.arange(400) < 200).astype(float)
+    net.logits = lambda x: x
+    x = r.normal(0, 1, 400) + y
+    net.calibrate(x, y)
+    assert (net.probability(x[y == 1]) >= net.threshold).mean() >= secrets.RECALL
+    rows = [(1, "is ", "aa11bb22cc33dd44", " x")] * 500 + [(k % 2, "is ", f"{k:03d}" * 6 if k % 2 else "word" * 4 + "abc"[k % 3] * (k // 2), " x") for k in range(240)]
+    assert secrets.train(spark.createDataFrame(rows, "label int, before string, value string, after string"), 100) is not None
+    short = "see Xk9QzT4w and qWmZpLrTnBvXsKdJ or thing"
+    assert [short[a:e] for a, _, e in secrets.candidates(short)] == ["Xk9QzT4w", "qWmZpLrTnBvXsKdJ"]
+
+
 def test_classifier_on_held_out_labels(spark, empty):
     r = random.Random(6)
     rows = []
