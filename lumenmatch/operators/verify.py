@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import REMOTE, STORED, Profile, compare, passes
 
+GRAM = 3
+
 
 def candidate_printings(matches: DataFrame, printings: DataFrame) -> DataFrame:
     """matches (.., name) with all printings of the name; matches without one stay, with nulls."""
@@ -16,12 +18,18 @@ def candidate_printings(matches: DataFrame, printings: DataFrame) -> DataFrame:
 def names_containing(queries: DataFrame, printings: DataFrame, max_queries: int = 10_000) -> DataFrame:
     """queries (query) -> printings whose name contains the query, case-insensitive.
 
-    Containment has no equi-key: the queries are a stated set of at most max_queries,
-    broadcast against one scan of the printings; more raise an error.
+    At most max_queries are broadcast against one scan of the printings. More are joined on
+    their first GRAM characters (all, if shorter) with the substrings of the names, then verified.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    return printings.join(F.broadcast(queries), F.contains(F.lower("name"), F.lower("query")))
+    holds = F.contains(F.lower("name"), F.lower("query"))
+    if queries.limit(max_queries + 1).count() <= max_queries:
+        return printings.join(F.broadcast(queries), holds)
+    name = F.lower("name")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    grams = [F.transform(starts, lambda i: F.substr(name, i, F.lit(n))) for n in range(1, GRAM + 1)]
+    cut = printings.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams))))
+    asked = queries.withColumn("_key", F.substring(F.lower("query"), 1, GRAM))
+    return cut.join(asked, (F.col("_gram") == F.col("_key")) & holds).drop("_gram", "_key")
 
 
 def hash_matches(scans: DataFrame, hashes: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:

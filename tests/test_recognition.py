@@ -150,3 +150,14 @@ def test_entry_and_registration(spark):
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and "fuzzy_topk" in names
+
+
+def test_names_containing_answers_more_queries_than_are_broadcast(spark):
+    p = spark.createDataFrame([("Azur Éclat", "s1"), ("azurE", "s2"), ("Aaaa", "s3"), ("", "s4"), (None, "s5")], "name string, set_name string")
+    asked = ["A", "az", "zur", "éclat", "azure", "aaa", "zz", "", None, "az"]
+    q = spark.createDataFrame([(x,) for x in asked], "query string")
+    want = sorted((n, x) for n in ("Azur Éclat", "azurE", "Aaaa", "") for x in asked if x is not None and x.lower() in n.lower())
+    for most in (100, 3):
+        got = verify.names_containing(q, p, most)
+        assert got.columns == ["name", "set_name", "query"]
+        assert sorted((r.name, r.query) for r in got.collect()) == want
