@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
-SIEVE_BITS = 26
+MAX_SIEVE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -40,7 +40,9 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         p = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
         p[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(p)
+        have = np.multiply.accumulate(p)
+        if n <= CHUNK + 1:  # those of a very long text are not kept
+            _powers[kind] = have
     return have[:n]
 
 
@@ -172,31 +174,40 @@ def bucket_totals(df: DataFrame, hashes, bits: int) -> np.ndarray:
     return _gathered(df.mapInArrow(run, "part int, salt int, blob binary"), add, 8 << bits).view("<i8")
 
 
-def _sieve_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64), (h & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
+class Sieve:
+    """A Bloom filter of long ids, sized for their count; without bits (too many ids) it passes all."""
 
+    def __init__(self, bits: int, held: np.ndarray | None):
+        self.bits, self.held = bits, held
 
-def sieve_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of long ids: 2**SIEVE_BITS bits whatever their number; a full one passes all."""
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64), (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def passes(self, ids: pa.Array) -> np.ndarray:
+        """Which ids may be in the sieve; null ids are not."""
+        out = np.array(ids.is_valid())
+        if self.held is not None:
+            for at in self.places(ids.fill_null(0).to_numpy(zero_copy_only=False)):
+                out &= (self.held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def sieve_of(ids: DataFrame) -> Sieve:
+    """The sieve of a column of long ids: 12 bits an id, none beyond 2**MAX_SIEVE_BITS bits."""
+    empty = Sieve(max(16, int(12 * max(ids.count(), 1)).bit_length()), None)
+    if empty.bits > MAX_SIEVE_BITS:
+        return empty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << SIEVE_BITS, bool)
+        held = np.zeros(1 << (empty.bits - 3), np.uint8)
         for b in batches:
-            for at in _sieve_bits(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        if bits.any():
-            yield _emitted(np.packbits(bits))
+            for at in empty.places(b.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(held, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        if held.any():
+            yield _emitted(held)
 
     def both(blobs: list[bytes]) -> bytes:
         return np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in blobs]).tobytes()
 
-    return _gathered(ids.mapInArrow(run, "part int, salt int, blob binary"), both, 1 << (SIEVE_BITS - 3))
-
-
-def passes(sieve: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """Which ids may be in the sieve; null ids are not."""
-    out = np.asarray(ids.is_valid())
-    for at in _sieve_bits(ids.fill_null(0).to_numpy(zero_copy_only=False)):
-        out &= (sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+    return Sieve(empty.bits, _gathered(ids.mapInArrow(run, "part int, salt int, blob binary"), both, 1 << (empty.bits - 3)))

@@ -1,13 +1,14 @@
 """Small helpers shared by the corpus operators.
 
-Every operator takes the names of the columns it reads, selects only those under
-private names and leaves other columns alone, so extra columns cannot clash.
+Every operator takes the names of the columns it reads and selects only those under names
+of its own; where a table keeps all its columns, joined ones get names it does not have.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,28 +22,59 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-lumen-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts to Python in batches of at most so many rows, which bounds Arrow's buffers in the executors."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+    return base.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The files of one application lie in one folder, which ``clear`` removes.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lumen-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized DataFrame that nothing reads any more."""
+    known, path = _written.pop(id(df), (lambda: None, ""))
+    if known() is df:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate files of this application; results not yet read are lost."""
+    _written.clear()
+    _delete(spark, f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}")
+
+
+def private(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of docs has."""
+    used = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,6 +83,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells texts apart where ids repeat; null is like the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -14,15 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD_RUN, lower_ascii, plain_words, small_side
+from .common import NOT_WORD_RUN, lower_ascii, plain_words, small_side, text_key
 
 WIDTH = 10
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _hash_at(words: Column, at: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), *[F.get(words, at + k) for k in range(length)])
 
@@ -44,7 +40,7 @@ def window_hits(
     windows = item_windows(items, width, item_id, item_text)
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
     d = docs.select(
-        F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("w")
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("w")
     )
     parts = []
     for n in lengths:
@@ -85,7 +81,7 @@ def contamination(
     """Per row of docs: doc_id, n_words, n_hit, items (sorted strings), contaminated."""
     hits = merge_hits(window_hits(docs, items, width, id_col, text_col, item_id, item_text))
     base = docs.select(
-        F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"),
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
         F.size(plain_words(F.col(text_col))).cast("long").alias("n_words"),
     )
     j = base.alias("b").join(
@@ -110,7 +106,7 @@ def remove_spans(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")
     )
     text = F.col(text_col)
-    j = docs.join(small_side(hits), F.col(id_col).eqNullSafe(F.col("_id")) & (_text_key(text) == F.col("_k")), "left")
+    j = docs.join(small_side(hits), F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_k")), "left")
     words = F.array_remove(F.split(text, NOT_WORD_RUN.replace(r"\x60", r"\x40\x5B-\x60")), "")
     gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     # gap k stands before word k, also when it is empty; the last gap has no word

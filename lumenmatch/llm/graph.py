@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        e = materialize(_stars(e))
+        last, e = e, materialize(_stars(e))
+        forget(last)
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -5,19 +5,22 @@ rarest first by bucket counts over all documents; of two sets with Jaccard >= t
 ``n - ceil(t*n) + k`` shingles have at least k in common, here k = 1 + EXTRA percent of the
 smaller set. Classes that share as many with classes of a possible size are candidates.
 Candidates are partitioned into groups (by their most shared shingle, cut into blocks of
-bounded size); inside a block all links are found. For each block its token union is
-stored; the token-group matrix (shared shingle, block) bounds what a member can have in
-common with a block. Only blocks with members left are opened, and there the overlap with
-the token union prunes again. Of two components only the smaller one's members ask, so a
-large family is not compared with itself.
+bounded size). Inside a block members ask for their links until all that have not asked are
+of one component, so a family of near copies is not compared with itself.
 
-A family of near copies costs rows in proportion to its size, never its pairs. Shingles
-that occur very often are spread over all tasks and treated as shared without a count.
+Between blocks, the token-group matrix has a cell for each (shared shingle, block) with the
+least and the greatest component in it. Of two components only the smaller one's members
+ask; cells that can still join components bound how much two blocks have in common, and
+only qualifying blocks are opened. There the overlap with the block's token union prunes
+again. The matrix grows with blocks, not with members: a family of near copies costs rows
+in proportion to its size, never its pairs. Shingles that occur very often are spread over
+all tasks and treated as shared without a count.
 
 Defined results: a text without words (null, empty, blank) has no shingles and links with
 nothing; fewer words than the width give one shingle of all words. Repeated rows are copies
-of one class. A null doc_id row takes part by its text, and its component is named by the
-ids that are not null. An empty table gives an empty result.
+of one class. A row with a null doc_id takes part by its text and can connect others; a
+component is named by its ids that are not null (null if it has none). An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, small_batches, small_side
+from .common import materialize, partitions, private, small_side, text_key
 from .graph import components
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 18
-BLOCK_TOKENS = 200_000
+MAX_SKETCH_BITS = 20
+BLOCK_TOKENS = 500_000
 FLUSH = 1_000_000
 HOT_FACTOR = 8
 EXTRA = 4
@@ -79,17 +82,18 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, sid."""
+    """Per row of docs (doc_id, text): doc_id, text_key, n_shingles, sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [(len(s), _set_id(s)) for _, s in shingle_sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())],
-                ["doc_id", "n_shingles", "sid"],
+                [b.column(0), b.column(2), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())],
+                ["doc_id", "text_key", "n_shingles", "sid"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, sid long")
 
 
 def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -98,7 +102,7 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: in
     buckets = partitions(spark) * 2
     held = spark.sparkContext.broadcast(counts)
     hot_from = int(max(2000, HOT_FACTOR * counts.mean()))
-    top = np.uint64(64 - SKETCH_BITS)
+    top = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = held.value
@@ -149,7 +153,9 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: in
         )
 
     blobs = docs.select("text").mapInArrow(run, "bucket int, blob binary")
-    return A.by_bucket(blobs, detect, "token long, sid long, n long, cnt long")
+    out = materialize(A.by_bucket(blobs, detect, "token long, sid long, n long, cnt long"))
+    held.destroy()
+    return out
 
 
 def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +190,10 @@ def component_ids(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    small_batches(docs.sparkSession)
+    return _named_rows(docs, id_col, text_col, width, percent).drop("text_key")
+
+
+def _named_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(classes_of(docs, width))
     classes = rows.where(F.col("n_shingles") > 0).groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -195,14 +204,14 @@ def component_ids(
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     named = named.join(least, "label").select("sid", "n_shingles", "component")
     out = rows.join(named, ["sid", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between the sids of classes that connect what Jaccard links connect."""
     hashes = lambda b: (s for _, s in shingle_sets(b.column(0), width))
-    counts = A.bucket_totals(docs.select("text"), hashes, SKETCH_BITS)
-    shared = materialize(shared_prefixes(docs, counts, width, percent))
+    bits = min(MAX_SKETCH_BITS, max(16, docs.count().bit_length()))
+    shared = shared_prefixes(docs, A.bucket_totals(docs.select("text"), hashes, bits), width, percent)
     best = shared.groupBy("sid", "n").agg(F.max(F.struct("cnt", "token")).alias("b"), F.count("*").alias("k"))
     enough = F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100) + 1
     best = best.where(F.col("k") >= enough).select("sid", "n", F.col("b.token").alias("grp"), enough.alias("least"))
@@ -215,55 +224,87 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int
             F.when(F.col("sid") == F.col("leader"), F.col("blocks")).alias("copies"),
         )
     )
-    sets = _sets_of(docs, placed, width)
-    schema = "grp long, block int, sids array<long>, roots array<long>, tokens array<binary>"
-    blocks = materialize(sets.groupBy("grp", "block").applyInArrow(_block(percent), schema))
+    blocks = _blocks(docs, placed, width, percent)
     inner = blocks.select(F.explode(F.arrays_zip("sids", "roots")).alias("e")).select(F.col("e.sids").alias("u"), F.col("e.roots").alias("v"))
     inner = materialize(inner.where(F.col("u") != F.col("v")).distinct())
-    pairs = _block_pairs(shared, placed, components(inner))
-    data = blocks.select("grp", "block", "sids", "tokens")
-    one = data.toDF("g1", "b1", "sids1", "tokens1")
-    two = data.toDF("g2", "b2", "sids2", "tokens2")
-    opened = pairs.join(one, ["g1", "b1"]).join(two, ["g2", "b2"]).select("asked", "sids1", "tokens1", "sids2", "tokens2")
-    cross = opened.mapInArrow(_open(percent), "u long, v long")
+    pairs, members = _block_pairs(shared, placed, components(inner))
+    asking = pairs.groupBy("g1", "b1").agg(F.max("top").alias("reach"))
+    asking = asking.join(members.toDF("g1", "b1", "members"), ["g1", "b1"])
+    askers = asking.join(blocks.select(F.col("grp").alias("g1"), F.col("block").alias("b1"), "sids", "tokens"), ["g1", "b1"])
+    askers = askers.select("g1", "b1", "reach", "members", "sids", "tokens").mapInArrow(_askers, _ASKERS)
+    target = blocks.select(F.col("grp").alias("g2"), F.col("block").alias("b2"), F.col("sids").alias("sids2"), F.col("tokens").alias("tokens2"))
+    opened = pairs.join(askers, ["g1", "b1"]).join(target, ["g2", "b2"])
+    cross = opened.select("top", "askers", "tokens", "sids2", "tokens2").mapInArrow(_open(percent), "u long, v long")
     return inner.unionByName(cross.distinct())
 
 
-def _sets_of(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
-    """Shingle sets of the candidates, each in its block and a group's leader in all blocks: grp, block, sid, tokens."""
-    wanted = placed.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "grp", "block", "copies")
-    sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(placed.select("rep")))
+def _blocks(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """The blocks of candidates, a group's leader in all of its blocks: grp, block, sids, roots, tokens."""
+    key = lambda rep: F.coalesce(rep, F.col("sid"))  # noqa: E731  a class without an id is known by its sid
+    sieve = A.sieve_of(placed.select(key(F.col("rep"))))
+    held = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            b = b.filter(pa.array(A.passes(sieve.value, b.column(0))))
-            sets = [s for _, s in shingle_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "sid", "tokens"],
-            )
+            b = b.filter(pa.array(held.value.passes(b.column(0)) | ~np.asarray(b.column(0).is_valid())))
+            ids = b.column(0).to_pylist()
+            sids, tokens = [], []
+            for r, s in shingle_sets(b.column(1), width):
+                sid = _set_id(s)
+                if ids[r] is None and len(seen) < FLUSH:
+                    if sid in seen:
+                        continue
+                    seen.add(sid)
+                sids.append(sid)
+                tokens.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], ["sid", "tokens"])
 
-    sets = docs.mapInArrow(run, "doc_id long, sid long, tokens binary")
-    sets = sets.join(wanted, "doc_id").where(F.col("sid") == F.col("want"))  # a repeated id may stand on another text
     where = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("block"))
-    return sets.select("grp", "sid", "tokens", F.explode(where).alias("block"))
+    sets = docs.mapInArrow(run, "sid long, tokens binary").join(placed.select("sid", "grp", "block", "copies"), "sid")
+    sets = sets.select("grp", "sid", "tokens", F.explode(where).alias("block"))
+    schema = "grp long, block int, sids array<long>, roots array<long>, tokens array<binary>"
+    blocks = materialize(sets.groupBy("grp", "block").applyInArrow(_block(percent), schema))
+    held.destroy()
+    return blocks
+
+
+def _roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest index that links connect it with.
+
+    Sets ask one by one; one that is already in the largest component waits. At the end all that
+    wait are in one component, so every link between components has been asked for.
+    """
+    root = np.arange(len(sets))
+    if len(sets) < 2:
+        return root
+    sizes = np.array([len(s) for s in sets])
+    union, starts, member = _postings(sets)
+    shares = np.add.reduceat(np.repeat(np.diff(starts), np.diff(starts))[np.argsort(member, kind="stable")], np.r_[0, np.cumsum(sizes)[:-1]])
+    order = np.argsort(-shares / sizes, kind="stable")  # who shares most goes first
+    waits = np.ones(len(sets), bool)
+    largest = -1
+    while True:
+        asks = [k for k in order if waits[k] and root[k] != largest]
+        if not asks:
+            return root
+        for k in asks:
+            if root[k] == largest:
+                continue
+            waits[k] = False
+            near = root[_linked(sets[k], union, starts, member, sizes, percent)]
+            if len(near) and near.max() != near.min():
+                root[np.isin(root, near)] = near.min()
+                largest = int(np.bincount(root).argmax())
 
 
 def _block(percent: int):
-    """All links inside a block, as each member's smallest connected sid."""
+    """All that links inside a block connect, as each member's smallest connected sid."""
 
     def run(t: pa.Table) -> pa.Table:
         seen: dict[int, bytes] = dict(zip(t.column("sid").to_pylist(), t.column("tokens").to_pylist(), strict=True))
         sids = sorted(seen)
-        sets = _blob_sets([seen[s] for s in sids])
-        sizes = np.array([len(s) for s in sets])
-        root = np.arange(len(sids))
-        if len(sids) > 1:
-            union, starts, member = _postings(sets)
-            for k, q in enumerate(sets):
-                near = root[_linked(q, union, starts, member, sizes, percent)]
-                if len(near) and near.max() != near.min():
-                    root[np.isin(root, near)] = near.min()
+        root = _roots(_blob_sets([seen[s] for s in sids]), percent)
         named = np.array(sids, np.int64)
         return pa.table(
             {
@@ -276,53 +317,74 @@ def _block(percent: int):
     return run
 
 
-def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks g1, b1 with members (asked) that share enough prefix tokens with block g2, b2 and may not be connected yet.
+def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks g1, b1 that must ask block g2, b2 (top: its greatest component), and the members of each block.
 
-    Of two components only the smaller one's members ask: a block is of use to a member only
-    if it holds a larger component than the member's own.
+    A component's rank is (size, label). A cell of the matrix is a (token, block) with the least
+    and the greatest rank of its members that have the token. A link between two components is
+    asked for from the smaller one, so cells pair only from a lower least to a greater greatest.
     """
     member = placed.join(labels, placed.sid == labels.node, "left").select(
         "sid", "grp", "block", "least", F.coalesce("label", "sid").alias("label")
     )
     member = member.join(member.groupBy("label").agg(F.count("*").alias("size")), "label")
-    member = member.withColumn("rank", F.struct("size", "label")).drop("size")
-    whole = member.groupBy("grp", "block").agg(F.max("rank").alias("top"))
-    rows = materialize(shared.select("token", "sid").join(member.join(whole, ["grp", "block"]), "sid"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h"))
-    rows = rows.join(mixed.select("token"), "token", "left_semi")
-    matrix = rows.select("token", *[F.col(c).alias(c + "2") for c in ("grp", "block", "top")]).distinct()
-    other = (F.col("grp") != F.col("grp2")) | (F.col("block") != F.col("block2"))
-    met = rows.join(matrix, "token").where(other & (F.col("top2") > F.col("rank")))
-    met = met.groupBy("grp", "block", "grp2", "block2", "sid").agg(F.count("*").alias("k"), F.first("least").alias("least"))
-    met = met.where(F.col("k") >= F.col("least"))
-    return met.groupBy(F.col("grp").alias("g1"), F.col("block").alias("b1"), F.col("grp2").alias("g2"), F.col("block2").alias("b2")).agg(
-        F.collect_list("sid").alias("asked")
+    member = materialize(member.select("sid", "grp", "block", "least", F.struct("size", "label").alias("rank")))
+    cells = shared.select("token", "sid").join(member, "sid").groupBy("token", "grp", "block").agg(
+        F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("least").alias("least")
     )
+    cells = materialize(cells)
+    mixed = cells.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("n"))
+    mixed = mixed.where((F.col("l") != F.col("h")) & (F.col("n") > 1))
+    cells = cells.join(mixed.select("token", "h"), "token")
+    asks = cells.where(F.col("low") < F.col("h")).select("token", "low", "least", F.col("grp").alias("g1"), F.col("block").alias("b1"))
+    holds = cells.select("token", "high", F.col("grp").alias("g2"), F.col("block").alias("b2"))
+    other = (F.col("g1") != F.col("g2")) | (F.col("b1") != F.col("b2"))
+    met = asks.join(holds, "token").where(other & (F.col("low") < F.col("high")))
+    met = met.groupBy("g1", "b1", "g2", "b2").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("high").alias("top"))
+    pairs = materialize(met.where(F.col("k") >= F.col("least")).select("g1", "b1", "g2", "b2", "top"))
+    return pairs, member.groupBy("grp", "block").agg(F.collect_list(F.struct("sid", "rank")).alias("members"))
+
+
+_RANK = "struct<size:long,label:long>"
+_ASKERS = f"g1 long, b1 int, askers array<struct<sid:long,rank:{_RANK}>>, tokens array<binary>"
+
+
+def _askers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the members that ask any block: those ranked below the greatest component it may ask."""
+    for b in batches:
+        out: list[tuple] = []
+        for reach, members, sids, tokens in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+            have = dict(zip(sids, tokens, strict=True))
+            asking = [m for m in members if (m["rank"]["size"], m["rank"]["label"]) < (reach["size"], reach["label"])]
+            out.append((asking, [have[m["sid"]] for m in asking]))
+        rank = pa.struct([("size", pa.int64()), ("label", pa.int64())])
+        kind = pa.list_(pa.struct([("sid", pa.int64()), ("rank", rank)]))
+        columns = [pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns], ["g1", "b1", "askers", "tokens"])
 
 
 def _open(percent: int):
-    """Links between the asked members of a block and the members of another."""
+    """What links between the askers of a block and the members of another connect, one edge a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us: list[int] = []
             vs: list[int] = []
-            for asked, sids1, tokens1, sids2, tokens2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in range(b.num_rows):
+                top, askers, tokens, sids2, tokens2 = (c[r].as_py() for c in b.columns)
                 sets = _blob_sets(tokens2)
                 union, starts, member = _postings(sets)
                 sizes = np.array([len(s) for s in sets])
-                wanted = set(asked)
-                root = np.arange(len(sids2))  # one edge a member says what all links of these blocks connect
+                root = np.arange(len(sids2))
                 met: list[tuple[int, int]] = []
-                for sid, q in zip(sids1, tokens1, strict=True):
-                    if sid in wanted:
+                for who, q in zip(askers, tokens, strict=True):
+                    if (who["rank"]["size"], who["rank"]["label"]) < (top["size"], top["label"]):
                         near = _linked(np.frombuffer(q, np.uint64), union, starts, member, sizes, percent)
                         if len(near):
                             old = np.unique(root[near])
                             root[np.isin(root, old)] = old[0]
-                            met.append((sid, int(near[0])))
-                ends = [(sid, sids2[root[k]]) for sid, k in met] + [(sids2[k], sids2[r]) for k, r in enumerate(root) if r != k]
+                            met.append((who["sid"], int(near[0])))
+                ends = [(sid, sids2[root[k]]) for sid, k in met] + [(sids2[k], sids2[x]) for k, x in enumerate(root) if x != k]
                 us += [x for x, _ in ends]
                 vs += [x for _, x in ends]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -331,16 +393,18 @@ def _open(percent: int):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one whose id names it; texts without words all stay.
+    """docs with one document of each component, the one whose id names it; texts without words stay.
 
-    Rows with the same id are one document; where an id is repeated, equal texts stay once.
+    Rows with one id are one document. Rows that repeat an id and a text stay once; a null id
+    counts as an id there. A row with a null id goes if its component has an id.
     """
-    found = materialize(component_ids(docs, id_col, text_col))
-    out = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small_side(out), F.col(id_col) == F.col("_id"), "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    if twice.isEmpty():
+    key, text = private(docs, "_id", "_k")
+    found = materialize(_named_rows(docs, id_col, text_col, WIDTH, PERCENT)).withColumnsRenamed({"doc_id": key, "text_key": text})
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_key(F.col(text_col)) == F.col(text))
+    goes = F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col(key))
+    kept = docs.join(small_side(found.where(goes).select(key, text).distinct()), mine, "left_anti")
+    repeated = found.groupBy(key, text).count().where(F.col("count") > 1).select(key, text)
+    if repeated.isEmpty():
         return kept
-    twice = small_side(twice)
-    once = kept.join(twice, F.col(id_col) == F.col("_id"), "left_anti")
-    return once.unionByName(kept.join(twice, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col]))
+    repeated = small_side(repeated)
+    return kept.join(repeated, mine, "left_anti").unionByName(kept.join(repeated, mine, "left_semi").dropDuplicates([id_col, text_col]))

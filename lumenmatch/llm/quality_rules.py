@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, BROADCAST_ROWS, blank_words, materialize, small_side
+from .common import BLANK_RUN, BLANKS, BROADCAST_ROWS, blank_words, materialize, small_side, text_key
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -37,10 +37,6 @@ GROUP_HASHES = 2
 MASKS = (0, 0x5BD1E995A3C59AC3, 0x27D4EB2F165667C5, -0x61C8864680B583EB)
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.col("_t")
@@ -48,7 +44,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     d = d.select(
         "doc_id",
-        _text_key(text).alias("text_key"),
+        text_key(text).alias("text_key"),
         blank_words(text).alias("_w"),
         lines.alias("_lines"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
@@ -92,7 +88,7 @@ def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per line that has a word: doc_id, text_key, host, pos, h, words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), _text_key(text).alias("text_key"),
+        F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text_key(text).alias("text_key"),
         F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(blank_words(x)).alias("words"))).alias("_l"),
     )
     d = d.select("doc_id", "text_key", "host", F.posexplode("_l").alias("pos", "_x")).where(F.col("_x")["words"] > 0)
@@ -137,7 +133,7 @@ def frequent_lines(
 ) -> DataFrame:
     """Boilerplate lines: host, h. Candidates by distinct texts, then counted by groups of near copies."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(host_col).alias("host"), _text_key(text).alias("text_key"), text.alias("_t"))
+    texts = docs.select(F.col(host_col).alias("host"), text_key(text).alias("text_key"), text.alias("_t"))
     hosts = texts.where(F.translate("_t", BLANKS, "") != "").groupBy("host", "text_key").agg(F.lit(1).alias("_"))
     hosts = hosts.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), share * F.count("*")).alias("limit"))
     counts = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("_"))
@@ -194,7 +190,7 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that the rules keep, with all their columns."""
     verdict = judge(docs, id_col, text_col, host_col)
     bad = small_side(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (_text_key(F.col(text_col)) == F.col("_k")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(F.col(text_col)) == F.col("_k")), "left_anti")
 
 
 def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -204,6 +200,6 @@ def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), "positions"
     )
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    d = d.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_key(F.col("_t")) == F.col("_k")))
+    d = d.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("_t")) == F.col("_k")))
     left = F.filter(F.split("_t", "\n"), lambda x, i: ~F.array_contains("positions", i))
     return d.select("doc_id", F.array_join(left, "\n").alias("text"))

@@ -43,3 +43,42 @@ def test_empty_and_null_ids(spark, empty, texts):
     assert jaccard.component_ids(empty).count() == 0
     rows = spark.createDataFrame([(None, texts[0][1]), (None, "lone words that nobody else has"), (4, texts[0][1])], "doc_id long, text string")
     assert sorted((r.n_shingles, r.component_id) for r in jaccard.component_ids(rows).collect() if r.component_id) == [(76, 4), (76, 4)]
+
+
+def test_a_class_without_ids_connects_others(spark):
+    words = [f"w{k}" for k in range(60)]
+    first, last = " ".join(words), " ".join([*words[8:], *[f"x{k}" for k in range(8)]])
+    bridge = " ".join([*words[4:], *[f"x{k}" for k in range(4)]])
+    rows = spark.createDataFrame([(1, first), (None, bridge), (None, bridge), (9, last)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.component_ids(rows).collect()} == {1}
+    assert [r.doc_id for r in jaccard.keep_one(rows).collect()] == [1]
+    assert {(r.doc_id, r.component_id) for r in jaccard.component_ids(rows.where("doc_id is not null")).collect()} == {(1, 1), (9, 9)}
+
+
+def test_many_blocks_of_chained_families_equal_brute_force(spark, monkeypatch):
+    """Families whose members link only along a chain, over many blocks, with outliers."""
+    import random
+
+    r = random.Random(11)
+    texts, n = [], 0
+    for _ in range(4):
+        words = [f"f{r.randrange(10**6)}" for _ in range(70)]
+        for _ in range(25):
+            for _ in range(r.choice((1, 1, 2, 4))):
+                words[r.randrange(70)] = f"c{r.randrange(10**6)}"
+            texts.append((n, " ".join(words)))
+            n += 1
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 400)
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_ids(rows).collect()}
+    want = brute(texts)
+    assert got == want
+    assert 4 < len({c for _, c in want.values()}) < 90
+
+
+def test_keep_one_with_clashing_columns(spark, texts):
+    rows = [(i, t, 1, 2, 3, 4) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _k int, count int, text_key int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute(texts).items() if c == i)
