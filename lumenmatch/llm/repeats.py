@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, small_batches
+from .common import materialize, partitions
 
 LENGTH = 50
 DEPTH = 16
@@ -211,7 +211,7 @@ def _sieved(docs: DataFrame, sieve) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in _sliced(batches):
-            b = b.filter(pa.array(A.passes(sieve.value, b.column(0))))
+            b = b.filter(pa.array(sieve.value.passes(b.column(0))))
             texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze(x) for x in texts], pa.binary())], ["doc_id", "text"])
 
@@ -337,7 +337,6 @@ def remove_repeats(
     hot_from: int = HOT,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (removed [start, end) bytes), kept (the remaining bytes), kept_sha256."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(covered(docs, length, depth, hot_from))
     schema = "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
@@ -346,7 +345,7 @@ def remove_repeats(
     whole = _cut(length, depth)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return whole(b.filter(pa.array(~A.passes(sieve.value, b.column(0)))) for b in batches)
+        return whole(b.filter(pa.array(~sieve.value.passes(b.column(0)))) for b in batches)
 
     return hit.mapInArrow(whole, schema).unionByName(docs.mapInArrow(untouched, schema))
 
