@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
 MAX_SIEVE_BITS = 28
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, np.ndarray] = {}
 
 LOWER_TABLE = np.arange(256, dtype=np.uint8)
 LOWER_TABLE[65:91] += 32
@@ -32,30 +30,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+BYTE_TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(kind)
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
     if have is None or len(have) < n:
         p = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
         if n <= CHUNK + 1:  # those of a very long text are not kept
-            _powers[kind] = have
+            _powers[base] = have
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """s with s[j] - s[i] determined by data[i:j] and i; length len(data) + 1."""
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """s with s[j] - s[i] determined by data[i:j] and i; length len(data) + 1. Two independent hashes to choose from."""
     s = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_TABLE[data] * _power("base", _BASE, len(data)), out=s[1:])
+    np.cumsum(BYTE_TABLES[which][data] * _power(_BASES[which], len(data)), out=s[1:])
     return s
 
 
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of the bytes in each [start, end), the same wherever they stand."""
-    return mix((s[end] - s[start]) * _power("inv", _BASE_INV, len(s))[start])
+    return mix((s[end] - s[start]) * _power(pow(_BASES[which], -1, 1 << 64), len(s))[start])
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -19,9 +19,9 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("hot_from", [repeats.HOT, 2])
-def test_removal_equals_brute_force(docs, texts, hot_from):
-    got = repeats.remove_repeats(docs, hot_from=hot_from).collect()
+@pytest.mark.parametrize("hot_least", [repeats.HOT_LEAST, 2])
+def test_removal_equals_brute_force(docs, texts, hot_least):
+    got = repeats.remove_repeats(docs, hot_least=hot_least).collect()
     assert len(got) == len(texts) + 2
     want = brute(texts)
     assert {r.doc_id: (r.n_bytes, sum(b - a for a, b in zip(r.starts, r.ends, strict=True)), len(r.starts), r.kept_sha256) for r in got} == want
@@ -33,3 +33,37 @@ def test_empty_and_null_ids(spark, empty):
     rows = spark.createDataFrame([(None, "x" * 80), (3, "x" * 80), (5, "x" * 80)], "doc_id long, text string")
     got = {r.doc_id: len(r.kept) for r in repeats.remove_repeats(rows).collect()}
     assert got == {None: 80, 3: 80, 5: 0}
+
+
+def test_an_id_on_several_texts(spark):
+    """Rows of one id cover others with larger ids, but neither each other nor each other's places."""
+    a, b, c = "a passage that is long enough to be found in another document, twice", "x1y2" * 50, "z9" * 60
+    rows = [(1, a), (2, a), (2, a), (2, b), (2, c + b), (3, c), (3, b[:90] + a)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    kept = sorted((r.doc_id, bytes(r.kept).decode()) for r in got)
+    assert kept == sorted([(1, a), (2, ""), (2, ""), (2, b), (2, c + b), (3, ""), (3, "")])
+
+
+def test_masks_equal_brute_force():
+    """Random contexts over two letters, so that windows agree by chance in every way."""
+    import numpy as np
+
+    r, length, depth = np.random.default_rng(3), 7, 3
+    side, n = length - depth, 300
+    context = r.integers(97, 99, (n, 2 * side + depth)).astype(np.uint8)
+    left, right, doc = (r.integers(0, side + 1, n).astype(np.uint8), r.integers(0, side + 1, n).astype(np.uint8), r.integers(0, 40, n))
+    got = repeats.covered_masks(context, left, right, doc, length, depth)
+    for o in range(side + 1):
+        key = {}
+        rows = [k for k in range(n) if left[k] >= side - o and right[k] >= o]
+        text = {k: (bytes(context[k, side : side + depth]), bytes(context[k, o : o + length])) for k in rows}
+        for k in rows:
+            key[text[k]] = min(key.get(text[k], 99), doc[k])
+        assert [k for k in range(n) if got[k] >> o & 1] == [k for k in rows if key[text[k]] < doc[k]]
+
+
+def test_runs_of_one_letter_and_very_long_texts(spark):
+    texts = [(1, "a" * 3000), (2, "b" + "a" * 700 + "c"), (3, "a" * 49), (4, "ab" * 9000 + "a" * 60), (5, "ab" * 100)]
+    got = repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), hot_least=50).collect()
+    want = brute(texts)
+    assert {r.doc_id: (r.n_bytes, sum(b - a for a, b in zip(r.starts, r.ends, strict=True)), len(r.starts), r.kept_sha256) for r in got} == want
