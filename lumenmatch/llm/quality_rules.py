@@ -1,16 +1,20 @@
 """Quality rules by cross-document line frequency (native expressions only).
 
-A line is normalised (lower case, blank runs to one space) and hashed. Per host the
-documents that carry it are counted; a line on more than
-``max(min_documents, share * documents of the host)`` is boilerplate and removed. A
-document of whose words more than ``depleted`` percent lie in removed lines is rejected.
-
-Copies must not look like boilerplate: documents with equal texts count as one, and so does
-a group of near copies. Lines on enough texts are candidates. A text that carries some stands
-for the least hashes of its word pairs: of the rest of its lines if most of their pairs are in
-no candidate of the host, else (the rest is edited candidates, or nothing) of the whole text.
-Texts that share at least two of these hashes with a group of a quarter of the threshold or
-more count as one with it; smaller groups cannot lift a line over the threshold alone.
+One pass over the texts gives each document's counts and its lines, normalised (A-Z lower-cased,
+blank runs to one space) and hashed; the rest works on these. Per host the distinct documents
+that carry a line are counted. A line on more than ``max(min_documents, share * documents of the
+host)`` of them is a candidate.
+
+A candidate is boilerplate if its carriers differ in what else they say: each carrier votes with
+the longest word outside its candidate lines (none, if all its lines are candidates), and the
+line needs more distinct votes than documents are allowed. Copies, exact or edited, say the same
+and give few votes however many they are; pages that share a banner give nearly one each.
+
+Boilerplate lines are removed. A document is depleted, and rejected, if fewer than MIN_WORDS
+words are left of it or more than ``depleted_percent`` of its words are gone.
+
+A host has at most (lines a document / share) candidates, so they fit an array a host. A document
+is a (doc_id, text); repeated rows count once.
 
 Defined results: null text is empty, has zero counts and fails the base rule. A null host
 is a host of its own. Repeated rows get the same verdict each. An empty table gives an
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, BROADCAST_ROWS, blank_words, materialize, small_side, text_key
+from .common import BLANK_RUN, BLANKS, LOWER, UPPER, blank_words, lower_ascii, materialize, private, small_side, text_key
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -31,175 +35,151 @@ MIN_DOCUMENTS = 20
 SHARE = 0.03
 DEPLETED_PERCENT = 70
 HOSTS = 2000  # rows with arrays that are still broadcast
-GROUP_PART = 4
-GROUP_HASHES = 2
-# Masks that give a hash four orders.
-MASKS = (0, 0x5BD1E995A3C59AC3, 0x27D4EB2F165667C5, -0x61C8864680B583EB)
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, and only where the result is needed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated_words(windows: Column) -> Column:
+    """Words in windows of three (given by their hashes in order) that occur twice or more."""
+
+    def places(s: Column) -> Column:
+        same = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
+        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.size(F.array_distinct(windows)) == F.size(windows)
+    return F.when(none, F.lit(0)).otherwise(_let(_let(ordered, places), covered)).cast("long")
+
+
+def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Per row: doc_id, text_key, host, the base counts, base_failed, lines (pos, h, words, longest) that have a word."""
     text = F.col("_t")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     d = d.select(
-        "doc_id",
-        text_key(text).alias("text_key"),
-        blank_words(text).alias("_w"),
-        lines.alias("_lines"),
+        "doc_id", "host", text_key(text).alias("text_key"), F.split(text, "\n").alias("_l"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    words = F.col("_w")
+    d = d.withColumn("_w", F.transform("_l", blank_words)).withColumn("_words", F.flatten("_w"))
+    words = F.col("_words")
     starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
+    full = F.filter("_l", lambda x, i: F.size(F.get(F.col("_w"), i)) > 0)
+    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))
+    line = lambda w, i: F.struct(
+        i.alias("pos"), F.xxhash64(lower_ascii(F.array_join(w, " "))).alias("h"), F.size(w).alias("words"), longest(w).alias("longest")
     )
     d = d.select(
-        "doc_id", "text_key", "word_chars", "n_symbols",
-        F.size(words).cast("long").alias("n_words"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.transform(starts, window)).alias("_s"),
-    )
-    s = F.col("_s")
-    same = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
-    d = d.withColumn("_p", F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"])))
-    p = F.col("_p")
-    covered = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
-    d = d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.select(
-        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
+        "doc_id", "text_key", "host", "word_chars", "n_symbols", F.size(words).cast("long").alias("n_words"), full.alias("_full"),
+        F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))).alias("_h"),
+        F.filter(F.transform("_w", line), lambda x: x["words"] > 0).alias("lines"),
     )
-
-
-def _normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(line), BLANK_RUN, " "))
-
-
-def _normal_lines(text: Column) -> Column:
-    """The lines with a word, normalised, and their hashes."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    return F.transform(F.transform(lines, _normal), lambda x: F.struct(x.alias("line"), F.xxhash64(x).alias("h")))
-
-
-def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per line that has a word: doc_id, text_key, host, pos, h, words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text_key(text).alias("text_key"),
-        F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(blank_words(x)).alias("words"))).alias("_l"),
+    d = d.select(
+        "doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols",
+        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
+        _repeated_words(F.col("_h")).alias("n_repeat_words"), "lines",
     )
-    d = d.select("doc_id", "text_key", "host", F.posexplode("_l").alias("pos", "_x")).where(F.col("_x")["words"] > 0)
-    return d.select("doc_id", "text_key", "host", "pos", F.col("_x")["h"].alias("h"), F.col("_x")["words"].alias("words"))
-
-
-def _pairs(words: Column) -> Column:
-    """Hashes of each word with the one before; words must be a column, not an expression."""
-    return F.transform(words, lambda w, i: F.xxhash64(F.get(words, i - 1), w))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return d.withColumn("base_failed", failed)
 
 
 def _same_host(a: str, b: str) -> Column:
     return F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host"))
 
 
-def _stand_ins(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Per host and text with candidates: their hashes (has), the least hashes of its word pairs (sig), limit."""
-    sample = small_side(found.select("sample").distinct())
-    known = texts.join(sample, F.col("text_key") == F.col("sample"), "left_semi").select("host", F.explode(_normal_lines(F.col("_t"))).alias("_x"))
-    known = known.select("host", F.col("_x")["h"].alias("h"), blank_words(F.col("_x")["line"]).alias("_w")).alias("k")
-    known = known.join(F.broadcast(found).alias("f") if found.count() <= BROADCAST_ROWS else found.alias("f"), _same_host("k", "f") & (F.col("k.h") == F.col("f.h")))
-    known = known.select("k.host", F.explode(_pairs(F.col("_w"))).alias("_g")).distinct().groupBy("host").agg(F.collect_list("_g").alias("_known"))
-    hosts = found.groupBy("host").agg(F.collect_list("h").alias("_cands"), F.max("limit").alias("limit")).alias("c")
-    hosts = hosts.join(known.alias("n"), _same_host("c", "n")).select("c.host", "_cands", "limit", "_known")
-    d = texts.alias("t").join(small_side(hosts, HOSTS).alias("c"), _same_host("t", "c")).select(
-        "t.host", "text_key", "_t", "_cands", "_known", "limit", _normal_lines(F.col("_t")).alias("_l")
+def _by_host(lines: DataFrame, *aggregates: Column) -> DataFrame:
+    return small_side(lines.groupBy("host").agg(F.collect_list("h").alias("known"), *aggregates), HOSTS)
+
+
+def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """Boilerplate lines of document_lines(..): host, h."""
+    hashes = F.transform("lines", lambda x: x["h"])
+    texts = rows.where(F.size("lines") > 0).select("host", "doc_id", "text_key", "lines")
+    hosts = texts.select("host", "doc_id", "text_key").distinct().groupBy("host").agg(
+        F.greatest(F.lit(float(min_documents)), share * F.count("*")).alias("limit")
     )
-    d = d.withColumn("has", F.array_intersect(F.transform("_l", lambda x: x["h"]), "_cands")).where(F.size("has") > 0)
-    rest = F.filter("_l", lambda x: ~F.array_contains("has", x["h"]))
-    d = d.withColumn("_w", blank_words(F.array_join(F.transform(rest, lambda x: x["line"]), "\n")))
-    d = d.withColumn("_r", _pairs(F.col("_w"))).withColumn("_own", F.size(F.array_except("_r", "_known")))
-    whole = blank_words(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
-    d = d.withColumn("_v", F.when(2 * F.col("_own") <= F.size(F.array_distinct("_r")), whole))
-    d = d.withColumn("_g", F.when(F.col("_v").isNull(), F.col("_r")).otherwise(_pairs(F.col("_v"))))
-    least = lambda m: F.array_min(F.transform("_g", lambda g: g.bitwiseXOR(F.lit(m))))
-    return d.select("host", "text_key", "has", F.array(*map(least, MASKS)).alias("sig"), "limit").dropDuplicates(["host", "text_key"])
-
-
-def frequent_lines(
-    docs: DataFrame, lines: DataFrame, text_col: str = "text", host_col: str = "source",
-    min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
-) -> DataFrame:
-    """Boilerplate lines: host, h. Candidates by distinct texts, then counted by groups of near copies."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(host_col).alias("host"), text_key(text).alias("text_key"), text.alias("_t"))
-    hosts = texts.where(F.translate("_t", BLANKS, "") != "").groupBy("host", "text_key").agg(F.lit(1).alias("_"))
-    hosts = hosts.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), share * F.count("*")).alias("limit"))
-    counts = lines.groupBy("host", "h", "text_key").agg(F.lit(1).alias("_"))
-    counts = counts.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("text_key").alias("sample"))
-    counts = counts.where(F.col("docs") > min_documents)
-    joined = counts.alias("c").join(hosts.alias("n"), _same_host("c", "n")).where(F.col("docs") > F.col("limit"))
-    found = materialize(joined.select("c.host", "h", "sample", "limit"))
-    stand = materialize(_stand_ins(texts, found))
-    group = stand.select("host", "limit", F.explode("sig").alias("s")).groupBy("host", "s").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
-    group = group.where((F.col("n") > 1) & (GROUP_PART * F.col("n") >= F.col("limit")))
-    group = small_side(group.groupBy("host").agg(F.collect_list("s").alias("_groups")), HOSTS)
-    votes = stand.alias("d").join(group.alias("g"), _same_host("d", "g"), "left").select("d.*", F.array_intersect("sig", "_groups").alias("_in"))
-    votes = votes.select(
-        "host", "limit", F.explode("has").alias("h"),
-        F.when(F.size("_in") >= GROUP_HASHES, F.get("_in", F.lit(0))).otherwise(F.col("text_key")).alias("vote"),
+    counts = texts.select("host", "doc_id", "text_key", F.explode(F.array_distinct(hashes)).alias("h")).distinct()
+    counts = counts.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_documents)
+    found = counts.alias("c").join(hosts.alias("n"), _same_host("c", "n")).where(F.col("docs") > F.col("limit"))
+    found = _by_host(found.select("c.host", "h", "limit"), F.max("limit").alias("limit"))
+    carriers = texts.alias("t").join(found.alias("f"), _same_host("t", "f")).select(
+        "t.host", "limit", "lines", F.array_intersect(hashes, F.col("known")).alias("has")
     )
+    rest = F.filter("lines", lambda x: ~F.array_contains(F.col("has"), x["h"]))
+    vote = F.coalesce(F.array_max(F.transform(rest, lambda x: x["longest"]))["word"], F.lit(""))
+    votes = carriers.where(F.size("has") > 0).select("host", "limit", F.explode("has").alias("h"), vote.alias("vote"))
     votes = votes.groupBy("host", "h", "vote").agg(F.max("limit").alias("limit"))
     votes = votes.groupBy("host", "h").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
     return votes.where(F.col("n") > F.col("limit")).select("host", "h")
 
 
-def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Per document with boilerplate: doc_id, text_key, removed_words, positions of the removed lines."""
-    hit = lines.alias("l").join(
-        frequent.alias("f"), F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.h") == F.col("f.h")), "left_semi"
-    )
-    hit = hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("_x"))
-    return hit.select(
-        "doc_id", "text_key",
-        F.aggregate("_x", F.lit(0), lambda a, x: a + x["words"]).alias("removed_words"),
-        F.transform("_x", lambda x: x["pos"]).alias("positions"),
-    )
-
-
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_documents: int = MIN_DOCUMENTS, share: float = SHARE, depleted_percent: int = DEPLETED_PERCENT,
 ) -> DataFrame:
-    """Per row of docs: the base counts, base_failed, removed_words, positions and kept."""
-    lines = host_lines(docs, id_col, text_col, host_col)
-    frequent = small_side(frequent_lines(docs, lines, text_col, host_col, min_documents, share))
-    removed = removed_lines(lines, frequent)
-    stats = base_counts(docs, id_col, text_col)
-    joined = stats.alias("s").join(
-        removed.alias("r"),
-        F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.text_key") == F.col("r.text_key")), "left",
+    """Per row of docs: doc_id, text_key, the base counts, base_failed, removed_words, positions (removed lines) and kept."""
+    rows = materialize(document_lines(docs, id_col, text_col, host_col))
+    known = _by_host(frequent_lines(rows, min_documents, share))
+    joined = rows.alias("d").join(known.alias("k"), _same_host("d", "k"), "left")
+    hit = F.when(F.col("known").isNull(), F.array().cast(rows.schema["lines"].dataType)).otherwise(
+        F.filter("lines", lambda x: F.array_contains("known", x["h"]))
     )
-    gone = F.coalesce("removed_words", F.lit(0)).cast("long")
-    kept = ~F.col("base_failed") & (100 * gone <= depleted_percent * F.col("n_words"))
-    return joined.select("s.*", gone.alias("removed_words"), "positions", kept.alias("kept"))
+    joined = joined.select("d.*", hit.alias("_hit")).drop("lines", "host")
+    gone = F.aggregate("_hit", F.lit(0), lambda a, x: a + x["words"]).cast("long")
+    out = joined.withColumn("removed_words", gone).withColumn("positions", F.transform("_hit", lambda x: x["pos"])).drop("_hit")
+    left = F.col("n_words") - F.col("removed_words")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * F.col("removed_words") <= depleted_percent * F.col("n_words")))
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
+    key, text = private(docs, "_id", "_k")
     verdict = judge(docs, id_col, text_col, host_col)
-    bad = small_side(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(F.col(text_col)) == F.col("_k")), "left_anti")
+    bad = small_side(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_key").alias(text)).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (text_key(F.col(text_col)) == F.col(text)), "left_anti")
 
 
 def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id and the text without boilerplate lines, for the documents that have some."""
-    lines = host_lines(docs, id_col, text_col, host_col)
-    removed = removed_lines(lines, small_side(frequent_lines(docs, lines, text_col, host_col))).select(
+    removed = judge(docs, id_col, text_col, host_col).where(F.size("positions") > 0).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), "positions"
-    )
+    ).dropDuplicates(["_id", "_k"])
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     d = d.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("_t")) == F.col("_k")))
     left = F.filter(F.split("_t", "\n"), lambda x, i: ~F.array_contains("positions", i))
     return d.select("doc_id", F.array_join(left, "\n").alias("text"))
+
+
+def judge_sql(table: str = "documents") -> str:
+    """The columns of the registered query as SQL."""
+    words = f"list_filter(regexp_split_to_array({{}}, '{BLANK_RUN}'), lambda w: w <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM {table}),
+w AS (SELECT rid, {words.format('t')} AS w FROM d),
+win AS (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, CAST(len(w) AS BIGINT) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM again) GROUP BY rid),
+cut AS (SELECT rid, doc_id, host, t, unnest(string_split(t, chr(10))) AS x FROM d),
+lines AS (SELECT rid, doc_id, host, t, x, translate(array_to_string(w, ' '), '{UPPER}', '{LOWER}') AS line, len(w) AS words,
+  list_sort(list_transform(w, lambda y: struct_pack(n := length(y), word := y)))[-1] AS longest
+  FROM (SELECT *, {words.format('x')} AS w FROM cut) WHERE len(w) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY rid),
+hosts AS (SELECT host, greatest({MIN_DOCUMENTS}, {SHARE} * count(DISTINCT (doc_id, t))) AS most FROM lines GROUP BY host),
+cands AS (SELECT l.host, l.line, most FROM lines l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host GROUP BY ALL HAVING count(DISTINCT (doc_id, t)) > most),
+flagged AS (SELECT l.*, most FROM lines l LEFT JOIN cands c ON l.host IS NOT DISTINCT FROM c.host AND l.line = c.line),
+votes AS (SELECT rid, max(CASE WHEN most IS NULL THEN longest END).word AS vote FROM flagged GROUP BY rid),
+boiler AS (SELECT host, line FROM flagged JOIN votes USING (rid) WHERE most IS NOT NULL GROUP BY host, line, most HAVING count(DISTINCT coalesce(vote, '')) > most),
+gone AS (SELECT rid, sum(words) AS n FROM lines l JOIN boiler b ON l.host IS NOT DISTINCT FROM b.host AND l.line = b.line GROUP BY rid),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{BLANK_RUN}', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  CAST(coalesce(g.n, 0) AS BIGINT) AS removed_words
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN repeated r USING (rid) LEFT JOIN gone g USING (rid)),
+ruled AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND n_words - removed_words >= {MIN_WORDS} AND 100 * removed_words <= {DEPLETED_PERCENT} * n_words AS kept FROM ruled
+"""

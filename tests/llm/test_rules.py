@@ -6,6 +6,11 @@ from lumenmatch.llm import decontaminate, licenses, quality_rules, url_filter
 from .conftest import SCHEMA, edited, rows_of, sentence
 
 
+def prose(r, n):
+    """Words of 3 to 9 letters, so that documents differ in their longest one."""
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
@@ -13,7 +18,7 @@ def words_of(t):
 def test_base_counts_equal_brute_force(docs, texts):
     more = [(900, "a b c a b c a b c\n\nx # $\nx # $\n x # $"), (901, "a b c d a b c d")]
     df = docs.sparkSession.createDataFrame(rows_of(texts + more), SCHEMA)
-    got = {r.doc_id: r for r in quality_rules.base_counts(df).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
     for i, t in texts + more:
         w, t = words_of(t), t or ""
         seen, dup = set(), 0
@@ -32,11 +37,11 @@ def test_base_counts_equal_brute_force(docs, texts):
 
 def test_boilerplate_documents_are_rejected_and_copies_are_not(spark, empty):
     r = random.Random(2)
-    menu = [sentence(r, 30) for _ in range(3)]
-    rows = [(k, "\n".join([*menu, sentence(r, 8 if k < 40 else 60)]), "en", "site", 0, "h", 1, "p", 1) for k in range(60)]
-    copied = "\n".join(sentence(r, 12) for _ in range(8))
+    menu = [prose(r, 30) for _ in range(3)]
+    rows = [(k, "\n".join([*menu, prose(r, 8 if k < 40 else 60)]), "en", "site", 0, "h", 1, "p", 1) for k in range(60)]
+    copied = "\n".join(prose(r, 12) for _ in range(8))
     rows += [(100 + k, copied, "en", "site", 0, "h", 1, "p", 1) for k in range(60)]
-    rows += [(200 + k, "\n".join(sentence(r, 12) for _ in range(8)), "en", None, 0, "h", 1, "p", 1) for k in range(30)]
+    rows += [(200 + k, "\n".join(prose(r, 12) for _ in range(8)), "en", None, 0, "h", 1, "p", 1) for k in range(30)]
     df = spark.createDataFrame(rows + rows[:1], SCHEMA)
     kept = {v.doc_id: v.kept for v in quality_rules.judge(df).collect()}
     assert not any(kept[k] for k in range(40)) and all(kept[k] for k in range(40, 60))
@@ -48,18 +53,60 @@ def test_boilerplate_documents_are_rejected_and_copies_are_not(spark, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
-def test_line_on_a_tenth_of_a_host_is_boilerplate_and_near_copies_are_not(spark):
+def brute_kept(rows):
+    """{(id, text): (removed words, kept)} of (id, text, host) rows, straight from the definition."""
+    docs = {(i, t or "", h) for i, t, h in rows}
+    lines = {d: [(" ".join(words_of(x)).translate({k: k + 32 for k in range(65, 91)}), words_of(x)) for x in d[1].split("\n") if words_of(x)] for d in docs}
+    longest = lambda w: max((len(x), x.encode()) for x in w)
+    boiler, limit = set(), {}
+    for host in {d[2] for d in docs}:
+        mine = [d for d in docs if d[2] == host and lines[d]]
+        limit[host] = max(20, 0.03 * len(mine))
+        cands = {x for d in mine for x, _ in lines[d] if sum(x in {y for y, _ in lines[e]} for e in mine) > limit[host]}
+        vote = {d: max((longest(w) for x, w in lines[d] if x not in cands), default=(0, b""))[1] for d in mine}
+        boiler |= {(host, x) for x in cands if len({vote[d] for d in mine if x in {y for y, _ in lines[d]}}) > limit[host]}
+    out = {}
+    for i, t, host in docs:
+        w = words_of(t)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+        gone = sum(len(v) for x, v in lines[i, t, host] if (host, x) in boiler)
+        base = len(w) >= 50 and 100 * len(hit) <= 50 * len(w)
+        out[i, t] = (gone, base and len(w) - gone >= 50 and 100 * gone <= 70 * len(w))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Banners, exact and edited copies, short documents, null hosts and texts, repeated rows and ids."""
     r = random.Random(3)
-    own = lambda n: [sentence(r, 12) for _ in range(n)]
+    own = lambda n: [prose(r, 12) for _ in range(n)]
     texts = [own(6) for _ in range(240)]
-    line, base = sentence(r, 20), own(8)
+    line, base = prose(r, 20), own(8)
     for k in range(30):
-        texts[k].insert(k % 7, line)
+        texts[k].insert(k % 7, line.upper() if k % 2 else line)
     rows = [(k, "\n".join(t), "site") for k, t in enumerate(texts)]
+    rows += [(500 + k, "\n".join([line, *own(3)]), "site") for k in range(10)]
     rows += [(1000 + k, "\n".join(edited(r, x, 0.02) for x in base), "site") for k in range(120)]
-    got = {v.doc_id: v for v in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[k].removed_words == (20 if k < 30 else 0) for k in range(240))
-    assert all(got[1000 + k].kept and got[1000 + k].removed_words == 0 for k in range(120))
+    rows += [(2000 + k, "\n".join(base), "site") for k in range(80)] + [(3000 + k, "\n".join([*own(5), line]), None) for k in range(25)]
+    rows += [(None, None, "site"), (None, "", None), (7, "\n".join(own(6)), "site"), *rows[:25]]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    want = brute_kept(rows)
+    keys = {r.doc_id: [] for r in got}
+    assert len(got) == len(rows)
+    for v in got:
+        keys[v.doc_id].append((v.removed_words, v.kept))
+    for (i, _), x in want.items():
+        assert x in keys[i]
+    assert all(x in [y for (j, _), y in want.items() if j == i] for i, found in keys.items() for x in found)
+    assert all(keys[k][0] == (20, True) for k in range(1, 30) if k != 7) and not any(keys[500 + k][0][1] for k in range(10))
+    assert all(keys[k] == [(0, True)] for k in [*range(1000, 1120), *range(2000, 2080)])
+
+
+def test_keep_documents_with_clashing_columns(spark):
+    rows = [(1, "few words", 1, 2, 3, 4, "s"), (2, " ".join(f"w{k}" for k in range(60)), 1, 2, 3, 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _k int, known int, h int, source string")
+    kept = quality_rules.keep_documents(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
 def items(spark, texts):
