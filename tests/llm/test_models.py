@@ -75,16 +75,17 @@ def test_network_learns_held_out_findings():
     r = random.Random(4)
     good = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(300)]
     plain = [sentence(r, 1) * 4 for _ in range(300)]
-    x = secrets.encode(["key is "] * 600, good + plain, [" and"] * 600)
+    x = secrets.Pieces(["key is "] * 600, good + plain, [" and"] * 600)
     y = [1.0] * 300 + [0.0] * 300
     import numpy as np
 
     y = np.array(y)
     held = np.arange(600) % 3 == 0
     net = secrets.Network()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
-    p = net.probability(x[held])
+    test = x.take(np.flatnonzero(held))
+    net.fit(x.take(np.flatnonzero(~held)), y[~held])
+    net.calibrate(test, y[held])
+    p = net.probability(test)
     assert (p[y[held] == 1] >= net.threshold).mean() >= secrets.RECALL - 0.02
     assert (p[y[held] == 0] >= net.threshold).mean() <= 0.02
 
@@ -106,6 +107,48 @@ def test_secrets_of_other_kinds_are_added_and_mail_is_not(spark):
     assert share("other") >= 0.9 and share("mail") <= 0.05 and share("plain") <= 0.02
 
 
+def test_held_out_secrets_that_no_pattern_and_no_keyword_tells(spark):
+    """The model of one corpus on another: tokens of a kind that nothing labels, and ordinary tokens with digits."""
+    r = random.Random(21)
+    some = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda: some(r.choice((20, 32, 40)), alnum)
+    plain = lambda k: [f"{sentence(r, 1)}.{k}@mail.example.com", f"www.{sentence(r, 1)}{k % 7}.example.com", f"20{k % 30:02d}-0{k % 9 + 1}-11", f"chapter{k % 50}", f"{sentence(r, 1)}-{sentence(r, 1)}-{sentence(r, 1)}"][k % 5]
+    learn = [(k, f"{sentence(r, 12)} {(planted(r, k), f'token: {secret()}', plain(k))[k % 3]} {sentence(r, 12)}") for k in range(900)]
+    found = secrets.find_candidates(spark.createDataFrame(rows_of(learn), SCHEMA))
+    net = secrets.train(secrets.labelled(found))
+    test = [(k, f"{sentence(r, 12)} {secret() if k % 2 else plain(k // 2)} {sentence(r, 12)}") for k in range(400)]
+    got = {x.doc_id: x.spans for x in secrets.scan(secrets.find_candidates(spark.createDataFrame(rows_of(test), SCHEMA)), net).collect()}
+    share = lambda odd: sum(any(s.kind == "model" for s in got[k]) for k in got if k % 2 == odd) / 200
+    assert share(1) >= 0.9 and share(0) <= 0.1, (share(1), share(0))
+
+
+def test_long_candidates_are_read_whole():
+    """What tells a secret may stand anywhere in the candidate."""
+    import numpy as np
+
+    r = random.Random(2)
+    body = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((30, 90, 200))))
+    value = [body() + ("ZQX7" if k % 2 else "") + body() for k in range(500)]
+    x = secrets.Pieces([" is "] * 500, value, [" x"] * 500)
+    y = np.array([k % 2 for k in range(500)], float)
+    net = secrets.Network()
+    net.fit(x.take(np.arange(350)), y[:350], epochs=12)
+    z = net.logits(x.take(np.arange(350, 500)))
+    assert ((z > 0) == y[350:]).mean() > 0.95
+    one = secrets.Pieces(["before"], ["v" * 95], ["after"])
+    assert one.rows.shape[0] == 3 and one.first.tolist() == [True, False, False] and one.last.tolist() == [False, False, True]
+
+
+def test_overlaps_equal_the_plain_rule():
+    r = random.Random(8)
+    for _ in range(200):
+        spans = sorted((a, 0, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(6)))
+        taken = secrets._Taken(spans)
+        for a in range(64):
+            assert taken.meets(a, a + 3) == any(x < a + 3 and a < z for x, _, z in spans)
+
+
 def test_threshold_keeps_the_recall_and_copies_do_not_fill_the_sample(spark):
     import numpy as np
 
