@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +79,29 @@ def private(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def counted_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """df, written once, and whether its counted rows are at most max_rows; if so it has a broadcast hint."""
+    kept = materialize(df)
+    small = kept.count() <= max_rows
+    return (F.broadcast(kept) if small else kept), small
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, written once; with a broadcast hint only if its counted rows are at most max_rows."""
-    kept = materialize(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return counted_side(df, max_rows)[0]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, whole texts go to Python in batches of at most so many rows; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def text_key(text: Column) -> Column:

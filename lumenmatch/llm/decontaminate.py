@@ -3,7 +3,8 @@
 Items give windows of ``width`` consecutive words; an item with fewer words is one window.
 Document windows of those lengths are hashed, looked up, and hits are verified word for
 word. Only hits leave the scan, so the shuffle holds hits, not documents. The window table
-is broadcast when its counted rows are at most BROADCAST_ROWS; beyond that it is shuffled.
+is broadcast when its counted rows are at most BROADCAST_ROWS; beyond that places and hashes
+are shuffled to it, and the words of a document meet its hits once.
 
 Defined results: null or empty text has no words and no hits; a null or empty item has no
 windows; repeated items and repeated rows count once each; empty tables give zero hits.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD_RUN, lower_ascii, plain_words, small_side, text_key
+from .common import BROADCAST_ROWS, NOT_WORD_RUN, counted_side, materialize, plain_words, private, small_side, text_key
 
 WIDTH = 10
 
@@ -34,29 +35,37 @@ def item_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id",
 
 def window_hits(
     docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Verified hits: doc_id, text_key, at (word position from 0), len, items."""
-    windows = item_windows(items, width, item_id, item_text)
+    windows = materialize(item_windows(items, width, item_id, item_text))
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
-    d = docs.select(
-        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("w")
-    )
-    parts = []
-    for n in lengths:
-        known = windows.where(F.col("len") == n).select("window", "items")
-        known = small_side(known.withColumn("h", _hash_at(F.col("window"), F.lit(0), n)))
-        at = d.where(F.size("w") >= n).select("doc_id", "text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
-        found = at.withColumn("h", _hash_at(F.col("w"), F.col("at"), n)).join(known, "h")
-        found = found.where(F.slice("w", F.col("at") + 1, n) == F.col("window"))
-        parts.append(found.select("doc_id", "text_key", "at", F.lit(n).alias("len"), "items"))
-    if not parts:
+    d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), plain_words(F.col(text_col)).alias("w"))
+    if not lengths:
         empty = d.select("doc_id", "text_key", F.lit(0).alias("at"), F.lit(0).alias("len"), F.array(F.lit("")).alias("items"))
         return empty.where(F.lit(False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    of_length = lambda n, words, at: F.when(F.col("len") == n, _hash_at(words, at, n))
+    known, small = counted_side(windows.withColumn("h", F.coalesce(*[of_length(n, F.col("window"), F.lit(0)) for n in lengths])), broadcast_rows)
+    # one pass: at each place the windows of all lengths that fit there
+    every = d.where(F.size("w") >= lengths[0]).select("doc_id", "text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("at"))
+    if len(lengths) == 1:
+        at = every.select("*", F.lit(lengths[0]).alias("len"), _hash_at(F.col("w"), F.col("at"), lengths[0]).alias("h"))
+    else:
+        here = [F.struct(F.lit(n).alias("len"), _hash_at(F.col("w"), F.col("at"), n).alias("h")) for n in lengths]
+        at = every.select("*", F.explode(F.array(*here)).alias("x")).select("doc_id", "text_key", "w", "at", F.col("x.len").alias("len"), F.col("x.h").alias("h"))
+        at = at.where(F.col("at") + F.col("len") <= F.size("w"))
+    same = F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window")
+    if small:
+        return at.join(known, ["len", "h"]).where(same).select("doc_id", "text_key", "at", "len", "items")
+    # too many windows to broadcast: only places and hashes are exchanged, and a document's hits meet its words once
+    found = at.drop("w").join(known, ["len", "h"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "len", "window", "items")).alias("x"))
+    both = found.alias("f").join(d.dropDuplicates(["doc_id", "text_key"]).alias("d"), _same_text("f", "d")).select("f.doc_id", "f.text_key", "w", "x")
+    sure = F.filter("x", lambda x: F.slice(F.col("w"), x["at"] + 1, x["len"]) == x["window"])
+    return both.select("doc_id", "text_key", F.explode(sure).alias("x")).select("doc_id", "text_key", "x.at", "x.len", "x.items")
+
+
+def _same_text(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -76,17 +85,15 @@ def merge_hits(hits: DataFrame) -> DataFrame:
 
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (sorted strings), contaminated."""
-    hits = merge_hits(window_hits(docs, items, width, id_col, text_col, item_id, item_text))
+    hits = merge_hits(window_hits(docs, items, width, id_col, text_col, item_id, item_text, broadcast_rows))
     base = docs.select(
         F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
         F.size(plain_words(F.col(text_col))).cast("long").alias("n_words"),
     )
-    j = base.alias("b").join(
-        hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.text_key") == F.col("h.text_key")), "left"
-    )
+    j = base.alias("b").join(hits.alias("h"), _same_text("b", "h"), "left")
     none = F.array().cast("array<string>")
     return j.select(
         "b.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -102,16 +109,17 @@ def remove_spans(
 
     The few documents with hits are found by a join whose small side is checked for its size.
     """
+    key, same, spans = private(docs, "_id", "_k", "_spans")
     hits = merge_hits(window_hits(docs, items, width, id_col, text_col, item_id, item_text)).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")
+        F.col("doc_id").alias(key), F.col("text_key").alias(same), F.col("spans").alias(spans)
     )
     text = F.col(text_col)
-    j = docs.join(small_side(hits), F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_k")), "left")
+    j = docs.join(small_side(hits), F.col(id_col).eqNullSafe(F.col(key)) & (text_key(text) == F.col(same)), "left")
     words = F.array_remove(F.split(text, NOT_WORD_RUN.replace(r"\x60", r"\x40\x5B-\x60")), "")
     gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     # gap k stands before word k, also when it is empty; the last gap has no word
     pieces = F.zip_with(gaps, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
-    inside = lambda k: F.exists("_spans", lambda s: (k >= s["at"]) & (k < s["end"]))
+    inside = lambda k: F.exists(spans, lambda s: (k >= s["at"]) & (k < s["end"]))
     left = F.filter(pieces, lambda piece, k: ~inside(k))
-    cut = F.when(F.col("_spans").isNotNull(), F.array_join(left, "")).otherwise(text)
+    cut = F.when(F.col(spans).isNotNull(), F.array_join(left, "")).otherwise(text)
     return j.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, private, small_side, text_key
+from .common import materialize, partitions, private, small_batches, small_side, text_key
 from .graph import components
 
 WIDTH = 5
@@ -195,9 +195,10 @@ def component_ids(
 
 def _named_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(classes_of(docs, width))
-    classes = rows.where(F.col("n_shingles") > 0).groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    labels = components(links(docs, classes, width, percent))
+    with small_batches(docs.sparkSession):
+        rows = materialize(classes_of(docs, width))
+        classes = rows.where(F.col("n_shingles") > 0).groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        labels = components(links(docs, classes, width, percent))
     named = classes.join(labels, classes.sid == labels.node, "left").select(
         "sid", "n_shingles", "rep", F.coalesce("label", "sid").alias("label")
     )

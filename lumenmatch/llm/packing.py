@@ -7,19 +7,18 @@ weights; each round prices configurations by a knapsack dynamic program over the
 The fractional solution is rounded down to whole sequences, and what is left is packed best
 fit, longest first, a length and a class of equal sequences at a time. The plan says for
 each length which ranks go where; pieces are ranked by length in the cluster, with counts
-per (length, bucket), at most capacity x BUCKETS of them, so a length that a third of all
+per (length, bucket), where buckets grow with the pieces, so a length that a third of all
 pieces share stays spread.
 
 Defined results: null text is empty and gives one piece with the closing id only. Repeated
-rows are packed each. An empty table gives an empty result. Extra columns are ignored.
+rows, and rows with a null id, are packed each. A very long text is tokenised in segments
+between blanks. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .arrays import text_chunks
+from .common import materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 300
 EPSILON = 0.3
-CACHE_WORDS = 600_000
+CACHE_BYTES = 24 << 20
+SLICE_BYTES = 1 << 20
 BUCKETS = 256
+BUCKET_ROWS = 200_000
 _KEY = 1 << 40
 
 
@@ -50,9 +52,8 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        kind = json.loads(Path(path).read_text(encoding="utf-8"))
         #: lower case, white space dropped, word ends marked: chunks between blanks are independent
-        self.by_words = "Lowercase" in str(kind.get("normalizer")) and bool(kind["model"].get("end_of_word_suffix"))
+        self.by_words = "Lowercase" in str(self.tokenizer.normalizer) and bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         # byte-level vocabularies show a byte without a printable Latin-1 character as the next one from U+0100
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.shown = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in printable)}
@@ -60,12 +61,13 @@ class _Words:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
+        self.held = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.used = 0
 
     def slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slot) + len(words) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
         known = self.slot
         new = [w for w in words if w not in known]
@@ -98,6 +100,7 @@ class _Words:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[first : first + len(words) + 1] = self.used + np.r_[0, np.cumsum(n)]
         self.used += len(ids)
+        self.held += sum(map(len, words)) + 200 * len(words) + 4 * len(ids)  # about what Python takes for an entry
         self.slot.update(zip(words, range(first, first + len(words)), strict=True))
 
 
@@ -109,10 +112,26 @@ def _ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     words = _words.get(path)
     if words is None:
         words = _words[path] = _Words(path)
-    texts = texts.cast(pa.large_string()).fill_null("")
     if not words.by_words:
-        found = [e.ids for e in words.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        found = [e.ids for e in words.tokenizer.encode_batch(texts.cast(pa.large_string()).fill_null("").to_pylist(), add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
+    if len(texts) == 1 and len(whole := texts[0].as_py() or "") > SLICE_BYTES:
+        parts = [_word_ids(pa.array([x], pa.large_string()), words)[0] for x in _segments(whole)]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+    return _word_ids(texts.cast(pa.large_string()).fill_null(""), words)
+
+
+def _segments(text: str) -> Iterator[str]:
+    """Cuts of a long text at blanks, of about SLICE_BYTES characters."""
+    at = 0
+    while at < len(text):
+        stop = text.find(" ", at + SLICE_BYTES)
+        stop = len(text) if stop < 0 else stop
+        yield text[at:stop]
+        at = stop + 1
+
+
+def _word_ids(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.replace_substring(texts, "\n", " ")
     if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else case could matter to a special token
         # fewer distinct chunks, the same ids: lower case, and a single mark after a letter is a token of its own
@@ -130,6 +149,12 @@ def _ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return words.flat[at], np.r_[0, ends][per_text]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch with about SLICE_BYTES of text together, one row at least."""
+    for row, rows, _, _ in text_chunks(batch.column(1), SLICE_BYTES):
+        yield batch.slice(row, rows)
+
+
 def pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -140,8 +165,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
+            for b in _slices(whole):
                 ids, cut = _ids(b.column(1), path)
                 length = np.diff(cut) + 1
                 full = np.full(len(ids) + len(length), end_id, "<u4")
@@ -257,7 +281,8 @@ def _table(sequences: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...
 def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """found (with doc_id, piece, length) plus sequence_id and offset."""
     spark = found.sparkSession
-    found = found.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, found.count() // BUCKET_ROWS)
+    found = found.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = materialize(found.groupBy("length", "_b").count())
     demand = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     table = spark.sparkContext.broadcast(_table(plan(demand, capacity, rounds)))
@@ -283,13 +308,18 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
     return ranked.mapInArrow(place, schema)
 
 
+def _written(found: DataFrame) -> DataFrame:
+    with small_batches(found.sparkSession):
+        return materialize(found)
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, path, capacity, id_col=id_col, text_col=text_col)), capacity)
+    return pack(_written(pieces(docs, path, capacity, id_col=id_col, text_col=text_col)), capacity)
 
 
 def sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (of all its pieces in order), doc_ids."""
-    placed = pack(materialize(pieces(docs, path, capacity, keep_ids=True, id_col=id_col, text_col=text_col)), capacity)
+    placed = pack(_written(pieces(docs, path, capacity, keep_ids=True, id_col=id_col, text_col=text_col)), capacity)
     g = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
     return g.select("sequence_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"))

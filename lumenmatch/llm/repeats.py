@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, small_side, text_key
+from .common import materialize, partitions, small_batches, small_side, text_key
 
 LENGTH = 50
 DEPTH = 16
@@ -407,7 +407,8 @@ def remove_repeats(
 ) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (removed [start, end) bytes), kept (the remaining bytes), kept_sha256."""
     docs = _with_twins(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    found = materialize(covered(docs, length, depth, hot_least))
+    with small_batches(docs.sparkSession):
+        found = materialize(covered(docs, length, depth, hot_least))
     schema = "doc_id long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
     sieve = docs.sparkSession.sparkContext.broadcast(A.sieve_of(found.select("doc_id")))
     hit = _sieved(docs, sieve).join(found, ["doc_id", "twin"], "left").select("doc_id", "text", "runs")

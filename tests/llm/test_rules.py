@@ -151,6 +151,24 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_every_notice_is_found_wrapped_indented_and_in_comments(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for k, (name, wording) in enumerate(licenses.NOTICES):
+        lines = textwrap.wrap(wording, 66)
+        for j, mark in enumerate(("", "    ", "# ", " * ", "// ", ";; ", "> ")):
+            body = "\n".join(mark + x for x in lines)
+            rows.append((10 * k + j, f"{mark}Some title\n{mark}\n{mark}Copyright (c) 2020 A. Body. All rights reserved.\n{mark}\n{body}\n\ncode = 1"))
+            want[10 * k + j] = name
+        rows.append((10 * k + 8, f"A heading\n{wording}\nmore"))
+        want[10 * k + 8] = name
+    rows += [(5000, "Copyright X. All rights reserved."), (5001, "# All rights reserved.\n" * 300)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[5000] == got[5001] == licenses.ALL_RIGHTS
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("a.example.com", "/", "block"), (None, "/", "block"), ("com", "/en/", "block")], "host string, path string, verdict string")
     urls = ["https://WWW.Example.com/en/7?q", "http://x.com/en/1#f", "http://com/en/", "http://b.a.example.com/z", "http://acom/en/", None, "nothing", "http://xexample.com/en/7", "ftp://a.example.com/en/71", "http://example.com"]
@@ -164,3 +182,38 @@ def test_url_rules(spark):
     assert len(got) == 12
     none = url_filter.judge(df, rules.limit(0))
     assert none.where("verdict = 'allow'").count() == 12 and url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def test_many_rules_of_one_host_and_a_host_with_most_urls(spark):
+    """100,000 path rules on a host that holds nine tenths of the urls; nested ones, ties and prefixes as in the plain rule."""
+    r = random.Random(4)
+    paths = [f"/{k % 1000}/{k // 1000}" for k in range(100_000)] + ["/", "/7", "/7/", "/7/1/x", "/7/1/xy"]
+    rules = [("a.org", p, "block" if k % 2 else "allow") for k, p in enumerate(paths)] + [("org", "/7/1/x/long/path", "allow"), ("b.a.org", "/7/5", "block")]
+    urls = [f"http://{'b.' if k % 5 == 0 else ''}a.org/{r.randrange(1100)}/{r.randrange(120)}{r.choice(['', '/x', 'y'])}" for k in range(900)]
+    urls += ["http://a.org/7/1/xyz", "http://a.org/7/1/x/long/path/2", "http://b.a.org/7/55", "http://c.net/7"] + [f"http://h{k}.com/" for k in range(96)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    by = {}
+    for host, path, what in rules:
+        by.setdefault(host, {})[path] = what
+    for k, u in enumerate(urls):
+        host, _, rest = u.removeprefix("http://").partition("/")
+        path, best = "/" + rest, None
+        for h, mine in by.items():
+            if host == h or host.endswith("." + h):
+                for n in range(len(path) + 1):
+                    if path[:n] in mine and (best is None or (n + len(h), len(h)) > best[0]):
+                        best = ((n + len(h), len(h)), h + path[:n], mine[path[:n]])
+        assert got[k] == ((best[1], best[2]) if best else (None, "allow"))
+
+
+def test_contamination_past_the_broadcast(spark, docs, texts):
+    bench = [" ".join((texts[0][1] or "").split()[5:25]), " ".join((texts[36][1] or "").split()[18:40]), "One Two", "three"]
+    rows = lambda n: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.contamination(docs, items(spark, bench), broadcast_rows=n).collect())
+    assert rows(0) == rows(1000) and sum(x[2] for x in rows(0)) > 50
+
+
+def test_remove_spans_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two three", 5, 6, 7), (None, "three", 5, 6, 7)], "doc_id long, text string, _id int, _k int, _spans int")
+    out = decontaminate.remove_spans(df, items(spark, ["two"]))
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["one three", "three"]
