@@ -8,7 +8,8 @@ lacks it. The nearest language wins, ties by name.
 
 Defined results: null text, or text without letters, is ``und`` with score 0. Whole texts
 are ranked. Rows without a language are never learned from. With nothing to learn from all
-is ``und``. Repeated rows are judged each; an empty table gives an empty result.
+is ``und``. N-grams of one count rank by code. Repeated rows, and rows with a null id, are judged
+each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 PROFILE = 300
 SAMPLE = 4000
 NONE = "und"
+_SPLIT = 1 << 60
 _letters: list[np.ndarray] = []
 
 
@@ -41,11 +43,10 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not full.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.where(full, codes, 32).astype(np.int64)
-    c = c[full | np.r_[True, full[:-1]]]
-    c = np.r_[[32], c, [32]]
+    c = c[full | np.r_[False, full[:-1]]]
+    c = np.pad(c, (1, int(c[-1] != 32)), constant_values=32)
     pair = c[:-1] | (c[1:] << 21)
-    every = np.concatenate([c[c != 32], pair, pair[:-1] | (c[2:] << 42)])
-    return np.unique(every[every != (32 | 32 << 21)], return_counts=True)
+    return np.unique(np.concatenate([c[c != 32], pair, pair[:-1] | (c[2:] << 42)]), return_counts=True)
 
 
 def ranking(text: str, size: int = PROFILE) -> np.ndarray:
@@ -64,8 +65,8 @@ def profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) ->
     share = {r.lang: min(1.0, sample / r["n"]) for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return {}
-    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
-    some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut[F.col("lang")]).select("lang", "text")
+    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * _SPLIT))])
+    some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SPLIT)) < cut[F.col("lang")]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
