@@ -1,7 +1,11 @@
-"""Session and size-checked broadcasting for the recognition operators."""
+"""Session, intermediate tables in the shared folder, and size-checked broadcasting."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,62 @@ def session(app: str = "lumenmatch", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-lumen-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The files of one application lie in one folder, which ``clear`` removes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized DataFrame that nothing reads any more."""
+    known, path = _written.pop(id(df), (lambda: None, ""))
+    if known() is df:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate files of this application; results not yet read are lost."""
+    _written.clear()
+    _delete(spark, f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}")
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows; the count stops once it has more."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """df, written once; with a broadcast hint only if its counted rows are at most max_rows."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
+    """df, or an error if it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"{what} is empty")
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,13 +36,17 @@ def slot_score(a: Column, b: Column, n: int) -> Column:
     return F.when(F.length(a) > 0, F.round(hits / (F.length(a) / n), 2))
 
 
+def numbered_pairs(text: Column) -> Column:
+    """The bigrams of a text without blanks, each with its count so far, so that a multiset is a set of strings."""
+    pairs = lambda x: F.sort_array(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))
+    number = lambda p: F.transform(p, lambda g, i: F.concat(g, (i - F.array_position(p, g)).cast("string")))
+    return F.when(F.length(text) > 1, let(let(text, pairs), number)).otherwise(F.array().cast("array<string>"))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the bigram multisets of two texts without blanks, rounded to 2 places."""
     a, b = F.regexp_replace(a, r"\s+", ""), F.regexp_replace(b, r"\s+", "")
-    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    both = F.struct(let(a, pairs).alias("a"), let(b, pairs).alias("b"))
-    common = let(both, lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, g: acc + F.least(count(p["a"], g), count(p["b"], g))))
+    common = F.size(F.array_intersect(numbered_pairs(a), numbered_pairs(b)))
     score = F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0)
     return F.round(score.otherwise(2.0 * common / (F.length(a) + F.length(b) - 2)), 2)
 
@@ -52,9 +56,10 @@ def compare(a: Column, b: Column) -> list[Column]:
     return [slot_score(a, b, 2).alias("two"), slot_score(a, b, 4).alias("four"), dice(a, b).alias("string")]
 
 
-def passes(p: Profile) -> Column:
-    """Whether the columns two, four and string reach the profile."""
-    return (F.col("two") >= p.two) & (F.col("four") >= p.four) & (F.col("string") >= p.string)
+def reaches(a: Column, b: Column, two: Column, four: Column, string: Column) -> Column:
+    """Whether the three scores reach these least ones; the dearest is worked out only where the others do."""
+    cheap = (slot_score(a, b, 2) >= two) & (slot_score(a, b, 4) >= four)
+    return F.coalesce(F.when(cheap, dice(a, b) >= string), F.lit(False))
 
 
 def sign_hash(vector: Column, bits: int = 64) -> Column:

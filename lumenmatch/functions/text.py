@@ -80,6 +80,16 @@ def extension(url: Column) -> Column:
     return F.substring_index(without_query(url), ".", -1)
 
 
+def json_text(value: Column) -> Column:
+    """A struct, array or map as JSON; fields that are null are left out."""
+    return F.to_json(value)
+
+
+def is_empty_json(text: Column) -> Column:
+    """Whether JSON text is an object without fields, however it is spaced."""
+    return F.coalesce(F.size(F.json_object_keys(text)) == 0, F.lit(False))
+
+
 def base64_text(data: Column) -> Column:
     """Base64 without line breaks."""
     return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..common import small_side
+from ..common import materialize, small_side
 from ..functions.text import edit_similarity, gram_counts, norm
 
 # Fixed values of the lookup and its policy.
@@ -54,11 +54,16 @@ def _ranked(texts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
 def lookup(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """texts (text) -> text, name, score, rank. Grams of 2 are tried only where grams of 3 give nothing."""
     texts = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    first = _ranked(texts, dictionary, SIZES[0])
+    first = materialize(_ranked(texts, dictionary, SIZES[0]))
     rest = texts.join(first.select("text").distinct(), "text", "left_anti")
     return first.unionByName(_ranked(rest, dictionary, SIZES[1]))
 
 
+def lookup_one(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The best name of each text: text, name, score; an empty text has none."""
+    return lookup(texts.where(F.col("text") != ""), dictionary).where(F.col("rank") == 1).drop("rank")
+
+
 def fuzzy_topk(scans: DataFrame, dictionary: DataFrame) -> DataFrame:
     """scans (scan_id, text) -> scan_id, text, name, score, rank; scans without a hit have no row."""
     return scans.join(lookup(scans, dictionary), "text").select("scan_id", "text", "name", "score", "rank")

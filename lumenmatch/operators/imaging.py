@@ -22,6 +22,7 @@ from ..functions.text import base64_text, clean_text
 CONTRAST = 0.73
 BRIGHTNESS = 0.235
 COLOUR_REGIONS = ("art", "flavor")
+BLUR_FACTOR, BLUR_SHIFT = 57, 9  # a ninth of a sum in whole numbers
 SIDE = 16
 BANDS = 4
 
@@ -42,21 +43,29 @@ def _pixels(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[: width * height * channels].reshape(height, width, channels).astype(float)
 
 
+def _mean(p: np.ndarray) -> np.ndarray:
+    """The mean of 3 x 3 neighbours in whole numbers, edges repeated."""
+    pad = np.pad(p, ((1, 1), (1, 1), (0, 0)), mode="edge")
+    h, w = p.shape[:2]
+    return sum(pad[y : y + h, x : x + w] for y in range(3) for x in range(3)) * BLUR_FACTOR >> BLUR_SHIFT
+
+
 def preprocess(pixels: np.ndarray, grey: bool = True) -> np.ndarray:
-    """Grey, contrast, brightness, then a 3 x 3 mean."""
+    """Grey, contrast, brightness, then a blur of radius 1: two passes of a 3 x 3 mean."""
     p = pixels[..., :3]
     if grey and p.shape[2] == 3:
         p = (p @ np.array([0.0722, 0.7152, 0.2126]))[..., None]
     p = np.clip(np.floor((1 + CONTRAST) / (1 - CONTRAST) * (p - 127) + 127), 0, 255)
-    p = np.clip(p + (255 - p) * BRIGHTNESS, 0, 255)
-    pad = np.pad(p, ((1, 1), (1, 1), (0, 0)), mode="edge")
-    h, w = p.shape[:2]
-    mean = sum(pad[y : y + h, x : x + w] for y in range(3) for x in range(3)) / 9
-    return np.round(mean).astype(np.uint8)
+    p = np.clip(p + (255 - p) * BRIGHTNESS, 0, 255).astype(np.int64)
+    return _mean(_mean(p)).astype(np.uint8)
 
 
 def snippets(images: DataFrame, regions: tuple[str, ...] = ("name", "type", "art", "flavor"), preserve_colour: bool = False) -> DataFrame:
-    """Cropped, preprocessed regions: id, region, width, height, channels, data."""
+    """Cropped, preprocessed regions of the images that are large enough: id, region, width, height, channels, data.
+
+    split_by_size gives the other images.
+    """
+    images = split_by_size(images)[0]
     each = images.select("*", F.explode(F.array(*[F.lit(r) for r in regions])).alias("region"))
     each = each.withColumn("box", crop_box(F.col("width"), F.col("height"), F.col("region"))).select(
         "id", "region", "width", "height", "channels", "data", "box.left", "box.top", F.col("box.width").alias("w"), F.col("box.height").alias("h")
@@ -129,6 +138,13 @@ def extract_text(snips: DataFrame, factory: Callable[[], Extractor], keep_spaces
     return out.withColumn("clean_text", clean_text(F.col("dirty_text"), keep_spaces))
 
 
+def read_regions(
+    images: DataFrame, factory: Callable[[], Extractor], regions: tuple[str, ...] = ("name", "type"), keep_spaces: bool = False,
+) -> DataFrame:
+    """Crop, preprocess and extract in one call: id, region, dirty_text, clean_text."""
+    return extract_text(snippets(images, regions), factory, keep_spaces)
+
+
 def base64_images(snips: DataFrame) -> DataFrame:
     """One row per id with the four regions as base64 text."""
     one = lambda r: F.max(F.when(F.col("region") == r, base64_text(F.col("data")))).alias(f"{r}_image")

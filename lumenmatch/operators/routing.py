@@ -59,8 +59,10 @@ def collection_upsert(collection: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new, one per key, whose key the target lacks."""
-    return new.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
+    """Rows of new, one per key, whose key the target lacks; null is a key value like others."""
+    n, t = new.dropDuplicates(keys).alias("n"), target.select(*keys).distinct().alias("t")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    return n.join(t, same, "left_anti")
 
 
 def audited(rows: DataFrame, writer: str = "lumenmatch") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import REMOTE, STORED, Profile, compare, passes
+from ..common import small_side
+from ..functions.hashing import REMOTE, STORED, Profile, reaches
+from .routing import insert_if_absent
 
 GRAM = 3
 
@@ -15,28 +17,29 @@ def candidate_printings(matches: DataFrame, printings: DataFrame) -> DataFrame:
     return matches.join(printings, "name", "left")
 
 
-def names_containing(queries: DataFrame, printings: DataFrame, max_queries: int = 10_000) -> DataFrame:
+def names_containing(queries: DataFrame, printings: DataFrame) -> DataFrame:
     """queries (query) -> printings whose name contains the query, case-insensitive.
 
-    At most max_queries are broadcast against one scan of the printings. More are joined on
-    their first GRAM characters (all, if shorter) with the substrings of the names, then verified.
+    A query meets the names on the rarest of its grams of GRAM characters (itself, if shorter).
     """
-    holds = F.contains(F.lower("name"), F.lower("query"))
-    if queries.limit(max_queries + 1).count() <= max_queries:
-        return printings.join(F.broadcast(queries), holds)
-    name = F.lower("name")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    grams = [F.transform(starts, lambda i: F.substr(name, i, F.lit(n))) for n in range(1, GRAM + 1)]
-    cut = printings.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams))))
-    asked = queries.withColumn("_key", F.substring(F.lower("query"), 1, GRAM))
-    return cut.join(asked, (F.col("_gram") == F.col("_key")) & holds).drop("_gram", "_key")
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    some = lambda text, n: F.when(F.length(text) >= n, grams(text, n)).otherwise(F.array().cast("array<string>"))
+    name, asked = F.lower("name"), F.lower("query")
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[some(name, n) for n in range(1, GRAM + 1)]))
+    cut = printings.select("name").where(F.col("name").isNotNull()).distinct().select("name", F.explode(every).alias("_gram"))
+    counts = cut.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keys = queries.select("query").where(F.col("query").isNotNull()).distinct()
+    keys = keys.select("query", F.explode(F.when(F.length(asked) >= GRAM, F.array_distinct(some(asked, GRAM))).otherwise(F.array(asked))).alias("_gram"))
+    keys = keys.join(counts, "_gram").groupBy("query").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    found = cut.join(small_side(keys), "_gram").where(F.contains(name, asked)).select("name", "query")
+    return printings.join(found, "name").join(queries, "query").select(*printings.columns, *queries.columns)
 
 
 def hash_matches(scans: DataFrame, hashes: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
     """scans (keys, hash) against hashes (keys, card_hash, set_name): rows whose three scores reach the profile."""
     joined = scans.join(hashes.select(*keys, "card_hash", "set_name"), keys)
-    scored = joined.select(*scans.columns, "set_name", *compare(F.col("hash"), F.col("card_hash")))
-    return scored.where(passes(profile))
+    good = reaches(F.col("hash"), F.col("card_hash"), F.lit(profile.two), F.lit(profile.four), F.lit(profile.string))
+    return joined.where(good).select(*scans.columns, "set_name")
 
 
 def matched_sets(
@@ -44,20 +47,22 @@ def matched_sets(
 ) -> DataFrame:
     """Sets of stored hashes, then of remote ones, without repeats: id_cols, sets.
 
-    With strict_db a scan without a stored match gets none at all.
+    Both kinds are compared in one pass, each by its own profile. With strict_db a scan without a
+    stored match gets none at all.
     """
-    a = hash_matches(scans, stored, STORED, keys).select(*id_cols, F.lit(0).alias("src"), F.coalesce("set_name", F.lit("")).alias("s"))
-    b = hash_matches(scans, remote, REMOTE, keys).select(*id_cols, F.lit(1).alias("src"), F.coalesce("set_name", F.lit("")).alias("s"))
-    g = a.unionByName(b).groupBy(*id_cols).agg(F.sort_array(F.collect_set(F.struct("src", "s"))).alias("x"), F.min("src").alias("lo"))
-    sets = F.array_distinct(F.transform("x", lambda x: x["s"]))
-    out = g.select(*id_cols, "lo", sets.alias("sets"))
+    kind = lambda df, src: df.select(*keys, "card_hash", F.coalesce("set_name", F.lit("")).alias("s"), F.lit(src).alias("src"))
+    joined = scans.join(kind(stored, 0).unionByName(kind(remote, 1)), keys)
+    least = lambda name: F.when(F.col("src") == 0, getattr(STORED, name)).otherwise(getattr(REMOTE, name))
+    hits = joined.where(reaches(F.col("hash"), F.col("card_hash"), least("two"), least("four"), least("string")))
+    g = hits.groupBy(*id_cols).agg(F.sort_array(F.collect_set(F.struct("src", "s"))).alias("x"), F.min("src").alias("lo"))
+    out = g.select(*id_cols, "lo", F.array_distinct(F.transform("x", lambda x: x["s"])).alias("sets"))
     return (out.where(F.col("lo") == 0) if strict_db else out).drop("lo")
 
 
 def new_hashes(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Hashes not stored yet, by name, set, hash, foil and promo."""
     keys = ["name", "set_name", "card_hash", "is_foil", "is_promo"]
-    return found.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    return insert_if_absent(stored, found, keys)
 
 
 def dispatch(matches: DataFrame, printings: DataFrame) -> DataFrame:

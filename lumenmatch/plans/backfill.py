@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..common import materialize
 from ..functions.text import extension
 from ..operators.verify import new_hashes
 
 
 def dictionary_slice(dictionary: DataFrame, start: int, stop: int) -> DataFrame:
-    """Names at places start .. stop - 1 in text order; the dictionary is a small dimension."""
-    n = F.row_number().over(Window.orderBy("name")) - 1
-    return dictionary.select("name", n.alias("place")).where((F.col("place") >= start) & (F.col("place") < stop))
+    """Names at places start .. stop - 1 in text order: numbered within ranges of names, after the counts of the ranges before."""
+    parts = materialize(dictionary.select("name").repartitionByRange("name").withColumn("_p", F.spark_partition_id()))
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))  # a row for each range
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("name")) - 1)
+    placed = numbered.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").select("name", (F.col("_b") + F.col("_n")).alias("place"))
+    return placed.where((F.col("place") >= start) & (F.col("place") < stop))
 
 
 def hashable(printings: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Registered queries of the recognition operators, with the SQL that gives the same rows.
 
-The tables hold no cards, so operators are bound to stand-ins: names are part names,
-printings are (name, brand) pairs, a scan is a part with its name corrupted as a reader
-would, hashes are signs of embeddings or digests, the collection is what was ordered.
+The tables hold no cards, so operators are bound to stand-ins. Names are part names, and for
+parts of some sizes longer ones with the brand, which are near to each other. Printings are
+(name, brand) pairs: short names have many, long ones none, one or two. A scan is a part with its
+name corrupted as a reader would, and a hash that differs from the stored one in up to sixteen
+digits. Hashes are digests, or signs of embeddings; the collection is what was ordered.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..common import table
 from ..functions import hashing, text
 from ..functions.geometry import LEFT, MIN_HEIGHT, MIN_WIDTH, REGIONS, crop_box, large_enough
 from ..operators import fuzzy, routing, types, validation, verify
+from .backfill import backfill
 from .backfill import cards_by_set as by_set
 from .backfill import dictionary_slice as slice_of
 from .recognition import recognise
@@ -39,27 +42,53 @@ def registered(sql: str | None = None):
 # --- bindings -----------------------------------------------------------------------------
 
 NOISY_SQL = "replace(lower(replace(p_name, ' ', '')), 'o', '0') || CAST(p_partkey % 7 AS VARCHAR)"
+LONG_SQL = "p_name || ' collected edition ' || p_brand"
+NAMES_SQL = f"SELECT min(name) AS name FROM (SELECT p_name AS name FROM part UNION ALL SELECT {LONG_SQL} FROM part WHERE p_size IN (7, 8, 9)) GROUP BY lower(name)"
 
 
 def _part(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part")
 
 
-def _scans(spark: SparkSession, d: str) -> DataFrame:
+def _long():
+    return F.concat("p_name", F.lit(" collected edition "), "p_brand")
+
+
+def _digest(name, set_name):
+    """The hash of a printing; brands that share their first seven characters share it."""
+    return F.sha2(F.concat(name, F.substring(set_name, 1, 7)), 256)
+
+
+def _noisy():
     noisy = F.replace(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit("o"), F.lit("0"))
-    key = F.col("p_partkey")
-    return _part(spark, d).select(
-        key.alias("scan_id"), F.concat(noisy, (key % 7).cast("string")).alias("text"), F.sha2(F.concat("p_name", "p_brand"), 256).alias("hash")
-    )
+    return F.concat(noisy, (F.col("p_partkey") % 7).cast("string"))
+
+
+def _zeroed(hash_, k):
+    """The hash with its first k digits set to 0."""
+    return F.overlay(hash_, F.repeat(F.lit("0"), k), F.lit(1))
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = F.when(size.isin(7, 8, 9), _long()).otherwise(F.col("p_name"))
+    text_ = F.when(size.isin(7, 9), F.lower(_long())).when(size == 8, F.replace(F.lower(_long()), F.lit("e"), F.lit("3"))).otherwise(_noisy())
+    return _part(spark, d).select(key.alias("scan_id"), text_.alias("text"), _zeroed(_digest(name, F.col("p_brand")), (key % 9 * 2).cast("int")).alias("hash"))
 
 
 def _dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return fuzzy.dictionary_of(_part(spark, d), "p_name")
+    p = _part(spark, d)
+    return fuzzy.dictionary_of(p.select(F.col("p_name").alias("name")).unionByName(p.where(F.col("p_size").isin(7, 8, 9)).select(_long().alias("name"))))
 
 
 def _printings(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(spark, d).groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"))
-    return g.agg(F.min("p_partkey").alias("magic_id"), F.min("p_retailprice").cast("decimal(18,4)").cast("string").alias("usd"))
+    p = _part(spark, d)
+    row = lambda name, set_name: [name.alias("name"), set_name.alias("set_name"), "p_partkey", "p_retailprice"]
+    every = p.select(*row(F.col("p_name"), F.col("p_brand"))).unionByName(p.where(F.col("p_size").isin(7, 9)).select(*row(_long(), F.col("p_brand"))))
+    every = every.unionByName(p.where(F.col("p_size") == 9).select(*row(_long(), F.concat("p_brand", F.lit("x")))))
+    return every.groupBy("name", "set_name").agg(
+        F.min("p_partkey").alias("magic_id"), F.min("p_retailprice").cast("decimal(18,4)").cast("string").alias("usd")
+    )
 
 
 def _collection(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +98,8 @@ def _collection(spark: SparkSession, d: str) -> DataFrame:
     return line.join(part, line.l_partkey == part.p_partkey).groupBy("name", "set_name").agg(F.sum("q").cast("long").alias("quantity"))
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return _printings(spark, d).select("name", "set_name", F.sha2(F.concat("name", "set_name"), 256).alias("card_hash"))
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    return _printings(spark, d).select("name", "set_name", "magic_id", _digest(F.col("name"), F.col("set_name")).alias("card_hash"))
 
 
 GRAM_SQL = "'-' || regexp_replace(lower({x}), '[^a-zA-Z0-9À-ÿ, ]+', '', 'g') || '-'"
@@ -93,18 +122,23 @@ l{n} AS (SELECT text, name, cos, cos_rank, 1 - levenshtein(lower(text), lower(na
 r{n} AS (SELECT text, name, score, row_number() OVER (PARTITION BY text ORDER BY score DESC, cos_rank) AS rank FROM l{n} QUALIFY score >= 0.33)"""
 
 
-def _lookup_sql(texts: str = "SELECT DISTINCT text FROM scans", names: str = "SELECT min(p_name) AS name FROM part GROUP BY lower(p_name)") -> str:
+def _lookup_sql(texts: str = "SELECT DISTINCT text FROM scans", names: str = NAMES_SQL) -> str:
     return f"""texts AS ({texts}), dict AS ({names}), {_level_sql(3, 'texts')},
 rest AS (SELECT text FROM texts WHERE text NOT IN (SELECT text FROM r3)), {_level_sql(2, 'rest')},
 found AS (SELECT * FROM r3 UNION ALL SELECT * FROM r2)"""
 
 
-SCANS_SQL = f"scans AS (SELECT p_partkey AS scan_id, {NOISY_SQL} AS text, sha256(p_name || p_brand) AS hash FROM part)"
+_ZEROED_SQL = "repeat('0', CAST({k} AS BIGINT)) || substr({h}, CAST({k} AS BIGINT) + 1)"
+_SCAN_HASH_SQL = f"sha256((CASE WHEN p_size IN (7, 8, 9) THEN {LONG_SQL} ELSE p_name END) || substr(p_brand, 1, 7))"
+SCANS_SQL = f"""scans AS (SELECT p_partkey AS scan_id, CASE WHEN p_size IN (7, 9) THEN lower({LONG_SQL}) WHEN p_size = 8 THEN replace(lower({LONG_SQL}), 'e', '3') ELSE {NOISY_SQL} END AS text,
+{_ZEROED_SQL.format(h=_SCAN_HASH_SQL, k='(p_partkey % 9 * 2)')} AS hash FROM part)"""
 TOPK_SQL = f"{SCANS_SQL}, {_lookup_sql()}, topk AS (SELECT scan_id, text, name, score, rank FROM scans JOIN found USING (text))"
 POLICY_SQL = f"""{TOPK_SQL}, high AS (SELECT *, sum(CASE WHEN score >= 0.95 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id) AS hi FROM topk),
 policy AS (SELECT scan_id, text, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY rank) AS n FROM high
 WHERE score >= CASE WHEN hi > 1 THEN 0.95 ELSE 0.70 END) WHERE n <= 6)"""
-PRINTINGS_SQL = "printings AS (SELECT p_name AS name, p_brand AS set_name, min(p_partkey) AS magic_id, CAST(min(p_retailprice) AS DECIMAL(18,4)) AS usd FROM part GROUP BY 1, 2)"
+PRINTINGS_SQL = f"""printings AS (SELECT name, set_name, min(p_partkey) AS magic_id, CAST(min(p_retailprice) AS DECIMAL(18,4)) AS usd FROM (
+SELECT p_name AS name, p_brand AS set_name, p_partkey, p_retailprice FROM part UNION ALL SELECT {LONG_SQL}, p_brand, p_partkey, p_retailprice FROM part WHERE p_size IN (7, 9)
+UNION ALL SELECT {LONG_SQL}, p_brand || 'x', p_partkey, p_retailprice FROM part WHERE p_size = 9) GROUP BY 1, 2)"""
 COLLECTION_SQL = "collection AS (SELECT p_name AS name, p_brand AS set_name, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
@@ -144,16 +178,16 @@ def gram_norms(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"SELECT p_partkey, round(1 - levenshtein({NOISY_SQL}, lower(p_name)) / CAST(greatest(length({NOISY_SQL}), length(p_name)) AS DOUBLE), 9) AS score FROM part")
 def lev_similarity(spark: SparkSession, d: str) -> DataFrame:
-    p = _part(spark, d).select("p_partkey", "p_name").join(_scans(spark, d).select("scan_id", "text"), F.col("p_partkey") == F.col("scan_id"))
-    return p.select("p_partkey", F.round(text.edit_similarity(F.col("text"), F.col("p_name")), 9).alias("score"))
+    return _part(spark, d).select("p_partkey", F.round(text.edit_similarity(_noisy(), F.col("p_name")), 9).alias("score"))
 
 
 # --- hashes -------------------------------------------------------------------------------
 
 _BIT = "(CASE WHEN embedding[i * 4 + {k}] > 0 THEN {v} ELSE 0 END)"
 _DIGIT = " + ".join(_BIT.format(k=k, v=v) for k, v in ((1, 8), (2, 4), (3, 2), (4, 1)))
-HASHES_SQL = f"hashes AS (SELECT vec_id, label, array_to_string(list_transform(range(0, 16), lambda i: lower(to_hex({_DIGIT}))), '') AS hash FROM embeddings)"
-STORED_SQL = "stored AS (SELECT label, CAST(vec_id % 16 AS VARCHAR) AS set_name, arg_min(hash, vec_id) AS card_hash FROM hashes GROUP BY 1, 2)"
+HASHES_SQL = f"hashes AS (SELECT vec_id, label, array_to_string(list_transform(range(0, 16), lambda i: lower(to_hex({_DIGIT}))), '') AS short, repeat(short, 4) AS hash FROM embeddings)"
+STORED_SQL = f"""stored AS (SELECT label, set_name, {_ZEROED_SQL.format(h='whole', k='(CAST(set_name AS INT) % 7 * 2)')} AS card_hash
+FROM (SELECT label, CAST(vec_id % 16 AS VARCHAR) AS set_name, arg_min(hash, vec_id) AS whole FROM hashes GROUP BY 1, 2))"""
 
 
 def _slot_sql(n: int) -> str:
@@ -172,12 +206,12 @@ COMPARED_SQL = f"{HASHES_SQL}, {STORED_SQL}, joined AS (SELECT vec_id, h.label,
 
 
 def _hashes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", hashing.sign_hash(F.col("embedding")).alias("hash"))
+    return table(spark, d, "embeddings").select("vec_id", "label", F.repeat(hashing.sign_hash(F.col("embedding")), 4).alias("hash"))
 
 
 def _stored_hashes(spark: SparkSession, d: str) -> DataFrame:
-    h = _hashes(spark, d)
-    return h.groupBy("label", (F.col("vec_id") % 16).cast("string").alias("set_name")).agg(F.min_by("hash", "vec_id").alias("card_hash"))
+    h = _hashes(spark, d).groupBy("label", (F.col("vec_id") % 16).cast("string").alias("set_name")).agg(F.min_by("hash", "vec_id").alias("whole"))
+    return h.select("label", "set_name", _zeroed(F.col("whole"), F.col("set_name").cast("int") % 7 * 2).alias("card_hash"))
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +284,7 @@ def candidate_printings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    """WITH queries AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS query FROM part), printings AS (SELECT DISTINCT p_name AS name, p_brand AS set_name FROM part)
+    f"""WITH queries AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS query FROM part), {PRINTINGS_SQL}
 SELECT query, name, set_name FROM queries JOIN printings ON contains(lower(name), lower(query))"""
 )
 def names_containing(spark: SparkSession, d: str) -> DataFrame:
@@ -269,9 +303,9 @@ def dispatch_by_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 ROUTED_SQL = f"""{POLICY_SQL}, {PRINTINGS_SQL}, {COLLECTION_SQL}, {DISPATCH_SQL},
-joined AS (SELECT d.scan_id, d.name, s.hash, p.set_name, sha256(p.name || p.set_name) AS card_hash FROM dispatched d JOIN scans s ON d.scan_id = s.scan_id JOIN printings p ON p.name = d.name WHERE action = 'many'),
+joined AS (SELECT d.scan_id, d.name, s.hash, p.set_name, p.magic_id, sha256(p.name || substr(p.set_name, 1, 7)) AS card_hash FROM dispatched d JOIN scans s ON d.scan_id = s.scan_id JOIN printings p ON p.name = d.name WHERE action = 'many'),
 {_SCORES_SQL},
-hits AS (SELECT scan_id, name, set_name, 0 AS src FROM scored WHERE {_profile_sql(hashing.STORED)} UNION SELECT scan_id, name, set_name, 1 FROM scored WHERE {_profile_sql(hashing.REMOTE)}),
+hits AS (SELECT scan_id, name, set_name, 0 AS src FROM scored WHERE magic_id % 2 = 0 AND {_profile_sql(hashing.STORED)} UNION SELECT scan_id, name, set_name, 1 FROM scored WHERE {_profile_sql(hashing.REMOTE)}),
 firsts AS (SELECT scan_id, name, set_name, min(src) AS src FROM hits GROUP BY 1, 2, 3),
 verified AS (SELECT scan_id, name, string_agg(set_name, ',' ORDER BY src, set_name) AS sets FROM firsts GROUP BY 1, 2),
 resolved AS (SELECT d.scan_id, d.name, CASE WHEN action = 'one' THEN only_set ELSE coalesce(sets, '') END AS sets FROM dispatched d LEFT JOIN verified v ON d.scan_id = v.scan_id AND d.name = v.name),
@@ -279,8 +313,9 @@ routed AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY scan_id) = 1 THEN 'co
 
 
 def _outcome(spark: SparkSession, d: str):
-    stored = _stored(spark, d)
-    return recognise(_scans(spark, d), _dictionary(spark, d), _printings(spark, d), stored, stored, _collection(spark, d))
+    remote = _hashed(spark, d)
+    stored = remote.where(F.col("magic_id") % 2 == 0)
+    return recognise(_scans(spark, d), _dictionary(spark, d), _printings(spark, d), stored, remote, _collection(spark, d))
 
 
 @registered(f"WITH {ROUTED_SQL} SELECT scan_id, name, sets, target FROM routed")
@@ -338,30 +373,39 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return routing.insert_if_absent(p.where(F.col("p_type") != "PROMO"), new, ["name", "set_name"])
 
 
-@registered("SELECT p_brand AS set_name, count(1) AS cards_in_set FROM part GROUP BY p_brand")
+@registered("SELECT p_brand AS set_name, count(1) AS cards_in_set, row_number() OVER (ORDER BY count(1) DESC, p_brand DESC) AS place FROM part GROUP BY p_brand")
 def cards_by_set(spark: SparkSession, d: str) -> DataFrame:
-    return by_set(_part(spark, d).select(F.col("p_brand").alias("set_name")))
+    """The report with the places in which it lists its sets, a row for each set."""
+    listed = by_set(_part(spark, d).select(F.col("p_brand").alias("set_name"))).coalesce(1)
+    return listed.withColumn("place", F.monotonically_increasing_id() + 1)
 
 
-@registered("SELECT name, n AS place FROM (SELECT p_name AS name, row_number() OVER (ORDER BY p_name) - 1 AS n FROM (SELECT DISTINCT p_name FROM part)) WHERE n >= 10 AND n < 40")
+@registered(f"SELECT name, n AS place FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM ({NAMES_SQL})) WHERE n >= 10 AND n < 40")
 def dictionary_slice(spark: SparkSession, d: str) -> DataFrame:
     return slice_of(_dictionary(spark, d), 10, 40).select("name", F.col("place").cast("long").alias("place"))
 
 
 @registered(
-    f"""WITH hashed AS (SELECT DISTINCT p_name AS name, p_brand AS set_name, sha256(p_name || p_brand) AS card_hash, p_type = 'PROMO' AS is_promo FROM part),
+    """WITH names AS (SELECT name FROM (SELECT min(p_name) AS name, row_number() OVER (ORDER BY min(p_name)) - 1 AS n FROM part GROUP BY lower(p_name)) WHERE n >= 10 AND n < 40),
+hashed AS (SELECT DISTINCT p_name AS name, p_brand AS set_name, sha256(p_name || p_brand) AS card_hash, p_type = 'PROMO' AS is_promo FROM part WHERE p_size % 3 <> 0 AND p_name IN (SELECT name FROM names)),
 stored AS (SELECT DISTINCT p_name AS name, p_brand AS set_name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 50)
 SELECT name, set_name, card_hash, is_promo FROM hashed h WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.name = h.name AND s.set_name = h.set_name)"""
 )
 def backfill_hashes(spark: SparkSession, d: str) -> DataFrame:
-    p = _part(spark, d).select(
-        "p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.sha2(F.concat("p_name", "p_brand"), 256).alias("card_hash"),
-        F.lit(False).alias("is_foil"), (F.col("p_type") == "PROMO").alias("is_promo"),
+    """A slice of the names through the whole back-fill; a third of the printings has no .jpg image."""
+    p = _part(spark, d)
+    ending = F.when(F.col("p_size") % 3 != 0, ".jpg?1").otherwise(".png?1")
+    printings = p.select(
+        F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.lit(False).alias("is_foil"), (F.col("p_type") == "PROMO").alias("is_promo"),
+        F.concat(F.lit("http://images/"), F.col("p_partkey").cast("string"), ending).alias("image_url"), F.col("p_partkey").alias("key"),
+        F.sha2(F.concat("p_name", "p_brand"), 256).alias("hash"),
     )
-    sold = table(spark, d, "lineitem").where(F.col("l_quantity") >= 50).select("l_partkey").distinct()
-    pairs = p.join(sold, p.p_partkey == sold.l_partkey, "left_semi").select("name", "set_name").distinct()
-    stored = p.join(pairs, ["name", "set_name"], "left_semi")
-    return verify.new_hashes(p, stored).select("name", "set_name", "card_hash", "is_promo")
+    sold = table(spark, d, "lineitem").where(F.col("l_quantity") >= 50).select(F.col("l_partkey").alias("key")).distinct()
+    pairs = printings.join(sold, "key", "left_semi").select("name", "set_name").distinct()
+    stored = printings.join(pairs, ["name", "set_name"], "left_semi").select("name", "set_name", F.col("hash").alias("card_hash"), "is_foil", "is_promo")
+    names = slice_of(fuzzy.dictionary_of(p, "p_name"), 10, 40)
+    new = backfill(names, printings.drop("hash", "key"), printings.select("image_url", "hash"), stored)
+    return new.select("name", "set_name", "card_hash", "is_promo")
 
 
 # --- types --------------------------------------------------------------------------------
@@ -439,14 +483,18 @@ def url_strip_ext(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.without_query(F.col("url")).alias("bare"), ext.alias("ext"), (ext == "html").alias("is_html"))
 
 
-@registered("SELECT p_partkey, replace(p_name, ' ', '%20') AS escaped, replace(p_brand, ' ', '%20') AS uri FROM part")
+@registered(
+    """SELECT p_partkey, replace(p_name, ' ', '%20') AS escaped,
+replace(replace(replace('http://x/' || p_name || '?a=' || p_brand || '&b=(é"~)', ' ', '%20'), 'é', '%C3%A9'), '"', '%22') AS uri FROM part"""
+)
 def url_space_escape(spark: SparkSession, d: str) -> DataFrame:
-    return _part(spark, d).select("p_partkey", text.escape_spaces(F.col("p_name")).alias("escaped"), text.encode_uri(F.col("p_brand")).alias("uri"))
+    uri = F.concat(F.lit("http://x/"), "p_name", F.lit("?a="), "p_brand", F.lit('&b=(é"~)'))
+    return _part(spark, d).select("p_partkey", text.escape_spaces(F.col("p_name")).alias("escaped"), text.encode_uri(uri).alias("uri"))
 
 
 @registered("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, props = '{}' AS is_empty FROM events")
 def json_field(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), (F.col("props") == "{}").alias("is_empty"))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), text.is_empty_json(F.col("props")).alias("is_empty"))
 
 
 @registered("SELECT item_id, base64(encode(text)) AS image FROM benchmark")
@@ -494,17 +542,30 @@ def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d)[1].select("p_partkey", F.array_join("violations", "; ").alias("violations"))
 
 
-# --- images: pixels derived from embeddings, no SQL form ------------------------------------
+# --- images: pixels derived from embeddings ------------------------------------------------
+
 
+def _pixel(x):
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.round(128 + x * 400))).cast("int")
 
-def _images(spark: SparkSession, d: str) -> DataFrame:
-    """8 x 8 grey images, one pixel per embedding value."""
+
+def _images(spark: SparkSession, d: str, across: int = 1, down: int = 1) -> DataFrame:
+    """Grey images of 8 x 8 cells, one per embedding value, of across x down pixels each."""
     e = table(spark, d, "embeddings")
-    digit = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(128 + x * 400))).cast("long")), 2, "0")
-    return e.select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(F.transform("embedding", digit), "")).alias("data"))
+    digit = lambda x: F.repeat(F.lpad(F.hex(_pixel(x).cast("long")), 2, "0"), across)
+    rows = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice(v, y * 8 + 1, F.lit(8)), ""), down))
+    data = F.unhex(F.array_join(text.let(F.transform("embedding", digit), rows), ""))
+    return e.select(F.col("vec_id").alias("id"), F.lit(8 * across).alias("width"), F.lit(8 * down).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
 
 
-@registered()
+@registered(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: 3 * greatest(0, least(255, round(128 + CAST(x AS DOUBLE) * 400)))) AS p FROM embeddings),
+bands AS (SELECT vec_id, unnest(range(0, 4)) AS band, p FROM v),
+cells AS (SELECT vec_id, band, p[band * 16 + 1 : band * 16 + 16] AS c FROM bands),
+bits AS (SELECT vec_id, band, list_transform(c, lambda x: CASE WHEN x > list_median(c) OR (abs(x - list_median(c)) < 1 AND list_median(c) > 384) THEN 1 ELSE 0 END) AS b FROM cells),
+digits AS (SELECT vec_id, band, array_to_string(list_transform(range(0, 4), lambda i: lower(to_hex(8 * b[i * 4 + 1] + 4 * b[i * 4 + 2] + 2 * b[i * 4 + 3] + b[i * 4 + 4]))), '') AS h FROM bits)
+SELECT vec_id AS id, string_agg(h, '' ORDER BY band) AS hash FROM digits GROUP BY vec_id""".replace("list_median(", "list_aggregate(").replace("list_aggregate(c)", "list_aggregate(c, 'median')")
+)
 def image_hash(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.imaging import hash_images
 
@@ -513,6 +574,7 @@ def image_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def image_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """All four regions of images of 360 x 504 pixels, with a digest of their bytes."""
     from ..operators.imaging import snippets
 
-    return snippets(_images(spark, d)).select("id", "region", "width", "height", text.base64_text(F.col("data")).alias("data"))
+    return snippets(_images(spark, d, 45, 63)).select("id", "region", "width", "height", F.sha2(F.col("data"), 256).alias("sha256"))

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import materialize
 from ..operators.fuzzy import confidence_policy, fuzzy_topk
 from ..operators.routing import attention_rows, collection_rows, route, unmatched
-from ..operators.verify import resolve_sets
+from ..operators.verify import new_hashes, resolve_sets
 
 
 @dataclass(frozen=True)
@@ -18,18 +19,26 @@ class Outcome:
     collection: DataFrame
     attention: DataFrame
     errors: DataFrame
+    fresh: DataFrame | None
 
 
 def recognise(
     scans: DataFrame, dictionary: DataFrame, printings: DataFrame, stored: DataFrame, remote: DataFrame, collection: DataFrame,
     strict_db: bool = False,
 ) -> Outcome:
-    """scans (scan_id, text, hash, ..) through all steps, as one lazy plan per result."""
+    """scans (scan_id, text, hash, ..) through all steps; what was matched and resolved is written once.
+
+    fresh are the remote hashes of matched names that are not stored yet, where both tables say
+    whether a printing is foil and promo.
+    """
     matches = confidence_policy(fuzzy_topk(scans.select("scan_id", "text"), dictionary)).select("scan_id", "name")
-    matches = matches.join(scans.select("scan_id", "hash"), "scan_id")
-    routed = route(resolve_sets(matches, printings, stored, remote, strict_db))
+    matches = materialize(matches.join(scans.select("scan_id", "hash"), "scan_id"))
+    routed = materialize(route(resolve_sets(matches, printings, stored, remote, strict_db)))
+    fresh = None
+    if {"is_foil", "is_promo"} <= set(remote.columns) & set(stored.columns):
+        fresh = new_hashes(remote.join(matches.select("name").distinct(), "name", "left_semi"), stored)
     return Outcome(
-        routed, collection_rows(routed, collection, printings), attention_rows(routed, scans.drop("hash")), unmatched(scans, routed)
+        routed, collection_rows(routed, collection, printings), attention_rows(routed, scans.drop("hash")), unmatched(scans, routed), fresh
     )
 
 

@@ -40,6 +40,17 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("name")
 
 
+def read_vocabularies(spark: SparkSession, path: str) -> DataFrame:
+    """Closed vocabularies as JSON lines {kind, names: [..]} -> kind, name, without repeats."""
+    d = spark.read.schema("kind string, names array<string>").json(path)
+    return d.select("kind", F.explode("names").alias("name")).distinct()
+
+
+def vocabulary(words: DataFrame, kind: str) -> DataFrame:
+    """The words (kind, name) of one kind: name."""
+    return words.where(F.col("kind") == kind).select("name").distinct()
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images; unreadable files are left out."""
     return spark.read.format("image").option("dropInvalid", True).load(path)

@@ -28,3 +28,8 @@ def insert_rows(spark: SparkSession, table: str, rows: DataFrame, database: str
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_snippets(snips: DataFrame, path: str) -> None:
+    """Snippets by region, their pixels as a binary column."""
+    snips.write.mode("overwrite").partitionBy("region").parquet(path)
