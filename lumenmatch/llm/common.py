@@ -6,66 +6,21 @@ of its own; where a table keeps all its columns, joined ones get names it does n
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import BROADCAST_ROWS, clear, forget, materialize, shared_folder, small_side, table
+
+__all__ = ["clear", "forget", "materialize", "shared_folder", "small_side", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 NOT_WORD_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 200_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set and Spark runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-lumen-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The files of one application lie in one folder, which ``clear`` removes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _written[id(out)] = (weakref.ref(out), path)
-    return out
-
-
-_written: dict[int, tuple[weakref.ref, str]] = {}
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialized DataFrame that nothing reads any more."""
-    known, path = _written.pop(id(df), (lambda: None, ""))
-    if known() is df:
-        _delete(df.sparkSession, path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate files of this application; results not yet read are lost."""
-    _written.clear()
-    _delete(spark, f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}")
 
 
 def private(docs: DataFrame, *names: str) -> list[str]:
@@ -86,11 +41,6 @@ def counted_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFra
     return (F.broadcast(kept) if small else kept), small
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, written once; with a broadcast hint only if its counted rows are at most max_rows."""
-    return counted_side(df, max_rows)[0]
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it lasts, whole texts go to Python in batches of at most so many rows; the setting is put back."""
@@ -124,9 +74,5 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD_RUN), "")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
