@@ -64,3 +64,25 @@ def test_sequences_round_trip_and_empty(spark, docs, empty, texts):
     want = sorted(i for d in some.collect() for i in ids_of(d.text))
     assert ids == want
     assert packing.pack_documents(empty, PATH).count() == 0
+
+
+def test_long_texts_null_ids_and_repeated_rows(spark, monkeypatch):
+    """Segments between blanks give the ids of the whole text; every row is packed."""
+    long = " ".join(["Some words, with marks. And\nlines <|x|> don't"] * 30)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 40)
+    found, cut = packing._ids(packing.pa.array([long]), PATH)
+    assert [*found.tolist(), 0] == ids_of(long) and cut.tolist() == [0, len(found)]
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None), (2, long)], "doc_id long, text string")
+    out = packing.pack_documents(rows, PATH, capacity=64).collect()
+    assert sum(x.length for x in out) == sum(len(ids_of(t)) for t in ("a b", "a b", "c", None, long))
+    places = {(x.sequence_id, x.offset) for x in out}
+    assert len(places) == len(out) and sum(x.doc_id is None for x in out) == 2
+
+
+def test_a_frequent_length_is_ranked_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 4)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    rows = spark.range(400).selectExpr("id AS doc_id", "0 AS piece", "IF(id < 300, 7L, 3L) AS length")
+    out = packing.pack(rows, capacity=16).collect()
+    assert len({(x.sequence_id, x.offset) for x in out}) == 400
+    assert len({x.sequence_id for x in out}) <= 168  # the least is 167: 133 of two long ones, 34 of one with short ones
