@@ -160,9 +160,17 @@ def bucket_totals(df: DataFrame, hashes, bits: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for h in hashes(b):
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                waiting.append((h >> np.uint64(64 - bits)).astype(np.int32))
+                size += len(h)
+                if size > CHUNK:
+                    total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+                    waiting, size = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=1 << bits)
         if total.any():
             yield _emitted(total)
 
