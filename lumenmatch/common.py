@@ -65,6 +65,11 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage, upon which Spark deletes the shuffle files of plans that nothing holds any more."""
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate files of this application; results not yet read are lost."""
     _written.clear()
