@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -21,6 +22,14 @@ BLANK_TABLE = np.zeros(256, dtype=bool)
 BLANK_TABLE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def release() -> None:
+    """Give back to the system what numpy and Arrow keep for later: a worker may idle beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -12,9 +12,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import BROADCAST_ROWS, clear, forget, materialize, shared_folder, small_side, table
+from ..common import BROADCAST_ROWS, clear, forget, free_shuffles, materialize, shared_folder, small_side, table
 
-__all__ = ["clear", "forget", "materialize", "shared_folder", "small_side", "table"]
+__all__ = ["clear", "forget", "free_shuffles", "materialize", "shared_folder", "small_side", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import materialize, partitions, private, small_batches, small_side, text_key
+from .common import BROADCAST_ROWS, forget, free_shuffles, materialize, partitions, private, small_batches, small_side, text_key
 from .graph import components
 
 WIDTH = 5
@@ -91,6 +91,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
                 [b.column(0), b.column(2), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())],
                 ["doc_id", "text_key", "n_shingles", "sid"],
             )
+        A.release()
 
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     return keyed.mapInArrow(run, "doc_id long, text_key long, n_shingles long, sid long")
@@ -135,6 +136,8 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: in
                 tokens, names, sizes, waiting = [], [], [], 0
         if waiting:
             yield flush()
+        tokens.clear()
+        A.release()
 
     def detect(blobs: list[bytes]) -> pa.RecordBatch:
         tok, sid, n, hot = A.unpack(blobs, ["uint64", "int64", "uint32", "uint8"])
@@ -155,6 +158,7 @@ def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: in
     blobs = docs.select("text").mapInArrow(run, "bucket int, blob binary")
     out = materialize(A.by_bucket(blobs, detect, "token long, sid long, n long, cnt long"))
     held.destroy()
+    free_shuffles(spark)
     return out
 
 
@@ -202,8 +206,9 @@ def _named_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     named = classes.join(labels, classes.sid == labels.node, "left").select(
         "sid", "n_shingles", "rep", F.coalesce("label", "sid").alias("label")
     )
-    least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    named = named.join(least, "label").select("sid", "n_shingles", "component")
+    # only components of several classes need a look-up, so that a large one is no key of a shuffle where these are few
+    least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    named = named.join(small_side(least), "label", "left").select("sid", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, ["sid", "n_shingles"], "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -236,7 +241,11 @@ def links(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int
     target = blocks.select(F.col("grp").alias("g2"), F.col("block").alias("b2"), F.col("sids").alias("sids2"), F.col("tokens").alias("tokens2"))
     opened = pairs.join(askers, ["g1", "b1"]).join(target, ["g2", "b2"])
     cross = opened.select("top", "askers", "tokens", "sids2", "tokens2").mapInArrow(_open(percent), "u long, v long")
-    return inner.unionByName(cross.distinct())
+    edges = materialize(inner.unionByName(cross.distinct()))
+    for used in (shared, placed, blocks, inner):
+        forget(used)
+    free_shuffles(docs.sparkSession)
+    return edges
 
 
 def _blocks(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
@@ -260,13 +269,17 @@ def _blocks(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> Dat
                 sids.append(sid)
                 tokens.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(tokens, pa.binary())], ["sid", "tokens"])
+        A.release()
 
     where = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("block"))
-    sets = docs.mapInArrow(run, "sid long, tokens binary").join(placed.select("sid", "grp", "block", "copies"), "sid")
+    known = placed.select("sid", "grp", "block", "copies")
+    known = F.broadcast(known) if placed.count() <= BROADCAST_ROWS else known
+    sets = docs.mapInArrow(run, "sid long, tokens binary").join(known, "sid")
     sets = sets.select("grp", "sid", "tokens", F.explode(where).alias("block"))
     schema = "grp long, block int, sids array<long>, roots array<long>, tokens array<binary>"
     blocks = materialize(sets.groupBy("grp", "block").applyInArrow(_block(percent), schema))
     held.destroy()
+    free_shuffles(docs.sparkSession)
     return blocks
 
 
@@ -328,15 +341,18 @@ def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> tup
     member = placed.join(labels, placed.sid == labels.node, "left").select(
         "sid", "grp", "block", "least", F.coalesce("label", "sid").alias("label")
     )
-    member = member.join(member.groupBy("label").agg(F.count("*").alias("size")), "label")
-    member = materialize(member.select("sid", "grp", "block", "least", F.struct("size", "label").alias("rank")))
-    cells = shared.select("token", "sid").join(member, "sid").groupBy("token", "grp", "block").agg(
-        F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("least").alias("least")
+    sizes = small_side(member.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+    rank = F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "label").alias("rank")
+    member = materialize(member.join(sizes, "label", "left").select("sid", "grp", "block", "least", rank))
+    # tokens of one component only, most of them, cannot join any
+    found = shared.select("token", "sid").join(member.select("sid", F.col("rank.label").alias("label")), "sid")
+    mixed = found.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("token")
+    rows = shared.select("token", "sid").join(small_side(mixed), "token").join(member, "sid")
+    cells = materialize(
+        rows.groupBy("token", "grp", "block").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("least").alias("least"))
     )
-    cells = materialize(cells)
-    mixed = cells.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("n"))
-    mixed = mixed.where((F.col("l") != F.col("h")) & (F.col("n") > 1))
-    cells = cells.join(mixed.select("token", "h"), "token")
+    top = cells.groupBy("token").agg(F.max("high").alias("h"), F.count("*").alias("n")).where(F.col("n") > 1)
+    cells = cells.join(top.select("token", "h"), "token")
     asks = cells.where(F.col("low") < F.col("h")).select("token", "low", "least", F.col("grp").alias("g1"), F.col("block").alias("b1"))
     holds = cells.select("token", "high", F.col("grp").alias("g2"), F.col("block").alias("b2"))
     other = (F.col("g1") != F.col("g2")) | (F.col("b1") != F.col("b2"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrays import text_chunks
+from .arrays import release, text_chunks
 from .common import materialize, small_batches
 
 CAPACITY = 2048
@@ -184,6 +184,7 @@ def pieces(
                 if keep_ids:
                     out.append(pa.array([full[x : x + y].astype(np.int32) for x, y in zip(base, size, strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
