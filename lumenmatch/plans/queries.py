@@ -42,7 +42,7 @@ def registered(sql: str | None = None):
 # --- bindings -----------------------------------------------------------------------------
 
 NOISY_SQL = "replace(lower(replace(p_name, ' ', '')), 'o', '0') || CAST(p_partkey % 7 AS VARCHAR)"
-LONG_SQL = "p_name || ' collected edition ' || p_brand"
+LONG_SQL = "p_name || ' vol ' || p_brand"
 NAMES_SQL = f"SELECT min(name) AS name FROM (SELECT p_name AS name FROM part UNION ALL SELECT {LONG_SQL} FROM part WHERE p_size IN (7, 8, 9)) GROUP BY lower(name)"
 
 
@@ -51,7 +51,7 @@ def _part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long():
-    return F.concat("p_name", F.lit(" collected edition "), "p_brand")
+    return F.concat("p_name", F.lit(" vol "), "p_brand")
 
 
 def _digest(name, set_name):
