@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
+from . import centroids, decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
 from .common import LOWER, NOT_WORD_RUN, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +97,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.train(docs, labels))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier, op13_centroid_clustering)}
 
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
