@@ -41,6 +41,18 @@ def counted_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFra
     return (F.broadcast(kept) if small else kept), small
 
 
+def join_skewed(rows: DataFrame, names: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """rows left-joined with names (key, ..; keys distinct and none null), where one key may be in very many rows.
+
+    Keys in more than this share of the rows are at most 1 / share; their names are broadcast,
+    and only the other rows are shuffled by the key.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share * rows.count()).select(key)
+    hot = F.broadcast(materialize(hot))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(names.join(hot, key, "left_semi")), key, "left")
+    return often.unionByName(rows.join(hot, key, "left_anti").join(names, key, "left"))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it lasts, whole texts go to Python in batches of at most so many rows; the setting is put back."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, url_filter
+from . import centroids, decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, simhash, url_filter
 from .common import LOWER, NOT_WORD_RUN, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.train(docs, labels))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.component_ids(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.cluster(table(spark, sf_dir, "embeddings"))
     digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
@@ -104,7 +109,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier, op13_centroid_clustering)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier, op11_simhash_near_dedup, op13_centroid_clustering)}
 
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
