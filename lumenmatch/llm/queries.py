@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, secrets, simhash, url_filter
+from . import centroids, decontaminate, jaccard, language, licenses, packing, quality_classifier, quality_rules, repeats, runs, secrets, simhash, url_filter
 from .common import LOWER, NOT_WORD_RUN, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,21 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = runs.find_runs(docs.select("doc_id", runs.with_planted_runs(F.col("text"), F.col("doc_id")).alias("text")))
+    ahead = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: F.when(ahead(x, y) > 0, -1).when(ahead(x, y) < 0, 1).when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"])), -1).otherwise(1)
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.cluster(table(spark, sf_dir, "embeddings"))
     digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
@@ -109,7 +124,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier, op11_simhash_near_dedup, op13_centroid_clustering)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_url_filter, op4_language_id, op5_jaccard_join, op6_secret_scan, op7_decontaminate, op8_suffix_dedup, op9_quality_rules, op10_quality_classifier, op11_simhash_near_dedup, op12_periodic_runs, op13_centroid_clustering)}
 
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
