@@ -37,13 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the application's folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     The files of one application lie in one folder, which ``clear`` removes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (weakref.ref(out), path)
@@ -53,7 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
 _written: dict[int, tuple[weakref.ref, str]] = {}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
@@ -62,7 +67,7 @@ def forget(df: DataFrame) -> None:
     """Delete the files of a materialized DataFrame that nothing reads any more."""
     known, path = _written.pop(id(df), (lambda: None, ""))
     if known() is df:
-        _delete(df.sparkSession, path)
+        delete_path(df.sparkSession, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -73,7 +78,7 @@ def free_shuffles(spark: SparkSession) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate files of this application; results not yet read are lost."""
     _written.clear()
-    _delete(spark, f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}")
+    delete_path(spark, f"{shared_folder(spark)}/lumen-{spark.sparkContext.applicationId}")
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -82,6 +87,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df dealt by the columns to all shuffle partitions, however few rows it has: what follows makes many rows of each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     """df, or an error if it has no row."""
     if df.isEmpty():

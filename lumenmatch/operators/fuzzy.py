@@ -1,23 +1,24 @@
 """Fuzzy dictionary lookup: n-gram cosine shortlist, edit-distance re-rank, confidence policy.
 
-Queries are looked up once per distinct text. Both sides explode their grams and meet in an
-equi-join on the gram, so no pair without a common gram is ever formed; the smaller side is
-broadcast only when its counted rows allow. Ranks are windows per query text with a limit,
+Queries are looked up once per distinct text, in an index of the dictionary's grams (grams.py),
+so no pair without a common gram is ever formed. Ranks are windows per query text with a limit,
 which Spark prunes before its shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..common import materialize, small_side
-from ..functions.text import edit_similarity, gram_counts, norm
+from ..common import materialize
+from ..functions.text import edit_similarity
+from .grams import SHORTLIST, GramIndex, index_of, nearest
 
 # Fixed values of the lookup and its policy.
 SIZES = (3, 2)
-SHORTLIST = 50
 MIN_SCORE = 0.33
 HIGH = 0.95
 LOW = 0.70
@@ -31,32 +32,34 @@ def dictionary_of(names: DataFrame, col: str = "name") -> DataFrame:
 
 def shortlist(texts: DataFrame, dictionary: DataFrame, n: int, keep: int = SHORTLIST) -> DataFrame:
     """texts (text) and dictionary (name) -> text, name, cos, cos_rank: the nearest by n-gram cosine."""
+    return nearest(texts, index_of(dictionary, n), keep)
 
-    def grams(df: DataFrame, col: str, prefix: str) -> DataFrame:
-        d = df.select(col, gram_counts(F.col(col), n).alias("_g"))
-        d = d.select(col, norm(F.col("_g")).alias(f"{prefix}_norm"), F.explode("_g").alias("_x"))
-        return d.select(col, f"{prefix}_norm", F.col("_x.gram").alias("gram"), F.col("_x.ct").alias(f"{prefix}_ct"))
-
-    joined = grams(texts, "text", "q").join(small_side(grams(dictionary, "name", "d")), "gram")
-    scored = joined.groupBy("text", "name").agg(
-        F.round(F.sum(F.col("q_ct") * F.col("d_ct")) / (F.first("q_norm") * F.first("d_norm")), 12).alias("cos")
-    )
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("cos"), "name"))
-    return scored.withColumn("cos_rank", rank).where(F.col("cos_rank") <= keep)
 
-
-def _ranked(texts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
-    s = shortlist(texts, dictionary, n).withColumn("score", edit_similarity(F.col("text"), F.col("name")))
+def _ranked(texts: DataFrame, index: GramIndex) -> DataFrame:
+    s = nearest(texts, index).withColumn("score", edit_similarity(F.col("text"), F.col("name")))
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "cos_rank"))
     return s.withColumn("rank", rank).where(F.col("score") >= MIN_SCORE).select("text", "name", "score", "rank")
 
 
 def lookup(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """texts (text) -> text, name, score, rank. Grams of 2 are tried only where grams of 3 give nothing."""
-    texts = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    first = materialize(_ranked(texts, dictionary, SIZES[0]))
-    rest = texts.join(first.select("text").distinct(), "text", "left_anti")
-    return first.unionByName(_ranked(rest, dictionary, SIZES[1]))
+    return _lookup(texts, [lambda n=n: index_of(dictionary, n) for n in SIZES])
+
+
+def lookup_in(texts: DataFrame, *indexes: GramIndex) -> DataFrame:
+    """texts (text) -> text, name, score, rank, by the first of the indexes that gives a text anything."""
+    return _lookup(texts, [lambda i=i: i for i in indexes])
+
+
+def _lookup(texts: DataFrame, indexes: list[Callable[[], GramIndex]]) -> DataFrame:
+    texts = materialize(texts.select("text").where(F.col("text").isNotNull()).distinct())
+    out = materialize(_ranked(texts, indexes[0]()))
+    for make in indexes[1:]:
+        texts = materialize(texts.join(out.select("text").distinct(), "text", "left_anti"))
+        if texts.isEmpty():
+            break
+        out = out.unionByName(_ranked(texts, make()))
+    return out
 
 
 def lookup_one(texts: DataFrame, dictionary: DataFrame) -> DataFrame:

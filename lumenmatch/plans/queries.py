@@ -14,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import new_path, table
 from ..functions import hashing, text
 from ..functions.geometry import LEFT, MIN_HEIGHT, MIN_WIDTH, REGIONS, crop_box, large_enough
-from ..operators import fuzzy, routing, types, validation, verify
+from ..operators import fuzzy, grams, routing, types, validation, verify
 from .backfill import backfill
 from .backfill import cards_by_set as by_set
 from .backfill import dictionary_slice as slice_of
@@ -42,7 +42,7 @@ def registered(sql: str | None = None):
 # --- bindings -----------------------------------------------------------------------------
 
 NOISY_SQL = "replace(lower(replace(p_name, ' ', '')), 'o', '0') || CAST(p_partkey % 7 AS VARCHAR)"
-LONG_SQL = "p_name || ' vol ' || p_brand"
+LONG_SQL = "p_name || ' collected edition ' || p_brand"
 NAMES_SQL = f"SELECT min(name) AS name FROM (SELECT p_name AS name FROM part UNION ALL SELECT {LONG_SQL} FROM part WHERE p_size IN (7, 8, 9)) GROUP BY lower(name)"
 
 
@@ -51,7 +51,7 @@ def _part(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long():
-    return F.concat("p_name", F.lit(" vol "), "p_brand")
+    return F.concat("p_name", F.lit(" collected edition "), "p_brand")
 
 
 def _digest(name, set_name):
@@ -163,6 +163,26 @@ def fuzzy_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return out.select("text", "name", F.round("cos", 9).alias("cos"), F.col("cos_rank").cast("long").alias("cos_rank"))
 
 
+INDEXED_SQL = NAMES_SQL.replace("FROM part UNION", "FROM part WHERE p_size <> 5 UNION").replace("(7, 8, 9)", "(7, 9)")
+
+
+@registered(f"WITH {SCANS_SQL}, {_lookup_sql(names=INDEXED_SQL)} SELECT text, name, round(cos, 9) AS cos, cos_rank FROM s3 WHERE cos_rank <= 50")
+def gram_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The shortlist by a persisted index that was built, then given names, then relieved of others."""
+    p = _part(spark, d)
+    first = p.select(F.col("p_name").alias("name")).unionByName(p.where(F.col("p_size").isin(7, 8)).select(_long().alias("name")))
+    more = p.where(F.col("p_size") == 9).select(_long().alias("name"))
+    goes = p.where(F.col("p_size") == 8).select(_long().alias("name")).join(p.where(F.col("p_size").isin(7, 9)).select(_long().alias("name")), "name", "left_anti")
+    goes = goes.unionByName(p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").alias("s"), F.max("p_size").alias("t")).where((F.col("s") == 5) & (F.col("t") == 5)).select("name"))
+    path = new_path(spark)
+    index = grams.GramTable(spark, "grams_" + path.rsplit("/", 1)[1], 3, 8, path)
+    index.build(fuzzy.dictionary_of(first))
+    index.update(added=more, dropped=goes)
+    index.update(added=more, dropped=goes)
+    out = grams.nearest(_scans(spark, d).select("text").distinct(), index.index())
+    return out.select("text", "name", F.round("cos", 9).alias("cos"), F.col("cos_rank").cast("long").alias("cos_rank"))
+
+
 @registered(f"SELECT x AS name, gram, ct FROM ({_grams_sql('(SELECT DISTINCT p_name FROM part)', 'p_name', 3)})")
 def gram_counts(spark: SparkSession, d: str) -> DataFrame:
     names = _part(spark, d).select("p_name").distinct()
