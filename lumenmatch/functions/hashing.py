@@ -43,23 +43,54 @@ def numbered_pairs(text: Column) -> Column:
     return F.when(F.length(text) > 1, let(let(text, pairs), number)).otherwise(F.array().cast("array<string>"))
 
 
+def parts(text: Column) -> Column:
+    """What a comparison needs of one hash: the text, and its numbered pairs. Made once a hash, before hashes meet."""
+    whole = F.regexp_replace(text, r"\s+", "")
+    return F.struct(text.alias("text"), whole.alias("whole"), numbered_pairs(whole).alias("pairs"))
+
+
+def dice_of(a: Column, b: Column) -> Column:
+    """Dice coefficient of the bigram multisets of two hashes (parts) without blanks, rounded to 2 places."""
+    x, y = a["whole"], b["whole"]
+    common = F.size(F.array_intersect(a["pairs"], b["pairs"]))
+    score = F.when(x == y, 1.0).when((F.length(x) < 2) | (F.length(y) < 2), 0.0)
+    return F.round(score.otherwise(2.0 * common / (F.length(x) + F.length(y) - 2)), 2)
+
+
 def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the bigram multisets of two texts without blanks, rounded to 2 places."""
-    a, b = F.regexp_replace(a, r"\s+", ""), F.regexp_replace(b, r"\s+", "")
-    common = F.size(F.array_intersect(numbered_pairs(a), numbered_pairs(b)))
-    score = F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0)
-    return F.round(score.otherwise(2.0 * common / (F.length(a) + F.length(b) - 2)), 2)
+    return dice_of(parts(a), parts(b))
+
+
+def compare_parts(a: Column, b: Column) -> list[Column]:
+    """The three scores of two hashes (parts), named two, four and string."""
+    x, y = a["text"], b["text"]
+    return [slot_score(x, y, 2).alias("two"), slot_score(x, y, 4).alias("four"), dice_of(a, b).alias("string")]
 
 
 def compare(a: Column, b: Column) -> list[Column]:
-    """The three scores, named two, four and string."""
-    return [slot_score(a, b, 2).alias("two"), slot_score(a, b, 4).alias("four"), dice(a, b).alias("string")]
+    return compare_parts(parts(a), parts(b))
+
+
+def reaches(a: Column, b: Column, profile: Profile) -> Column:
+    """Whether the scores of two hashes (parts) reach the profile; the dearest is worked out only where the others do."""
+    cheap = (slot_score(a["text"], b["text"], 2) >= profile.two) & (slot_score(a["text"], b["text"], 4) >= profile.four)
+    return F.coalesce(F.when(cheap, dice_of(a, b) >= profile.string), F.lit(False))
 
 
-def reaches(a: Column, b: Column, two: Column, four: Column, string: Column) -> Column:
-    """Whether the three scores reach these least ones; the dearest is worked out only where the others do."""
-    cheap = (slot_score(a, b, 2) >= two) & (slot_score(a, b, 4) >= four)
-    return F.coalesce(F.when(cheap, dice(a, b) >= string), F.lit(False))
+def bands(text: Column, size: Column, profile: Profile) -> Column:
+    """Pieces of a hash of which one must be equal in any that matches a hash of size characters: array<string>.
+
+    A score of profile.two leaves at most so many 2-character slots that differ; with one piece
+    more than that, one piece has none of them. The first slot always matches, so it is in no
+    piece. Where more slots may differ than are compared, the only piece is empty.
+    """
+    slots = F.ceil(size / 2).cast("int") - 1
+    differ = slots + 1 - F.ceil((F.lit(profile.two) - 0.005) * size / 2 - 1e-9).cast("int")
+    n = F.when(differ >= slots, F.lit(1)).otherwise(differ + 1)
+    first = lambda k: F.floor(k * slots / n).cast("int")
+    piece = lambda k: F.substring(text, 2 * first(k) + 1, 2 * (first(k + 1) - first(k)))
+    some = F.transform(F.sequence(F.lit(0), n - 1), piece)
+    return F.when(size > 0, F.when(differ >= slots, F.array(F.lit(""))).otherwise(some))
 
 
 def sign_hash(vector: Column, bits: int = 64) -> Column:

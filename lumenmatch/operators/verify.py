@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import small_side
-from ..functions.hashing import REMOTE, STORED, Profile, reaches
+from ..functions.hashing import REMOTE, STORED, Profile, bands, parts, reaches
 from .routing import insert_if_absent
 
 GRAM = 3
@@ -35,11 +35,29 @@ def names_containing(queries: DataFrame, printings: DataFrame) -> DataFrame:
     return printings.join(found, "name").join(queries, "query").select(*printings.columns, *queries.columns)
 
 
+def banded_pairs(scans: DataFrame, hashes: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
+    """All pairs of scans (keys, hash, ..) and hashes (keys, card_hash, ..) that can reach the profile, each once.
+
+    Of two hashes that do, one band is equal (hashing.bands), so they meet on (keys, band) in place
+    of all hashes of the same keys. A pair that has several equal bands is taken at its first.
+    Besides the columns of both: hash_parts, card_parts.
+    """
+    size = F.length("hash")
+    asked = scans.where(size > 0).withColumns({"_size": size, "_bands": bands(F.col("hash"), size, profile), "hash_parts": parts(F.col("hash"))})
+    sizes = asked.select(*keys, "_size").distinct()
+    held = hashes.where(F.col("card_hash").isNotNull()).withColumn("card_parts", parts(F.col("card_hash"))).join(sizes, keys)
+    held = held.withColumn("_held", bands(F.col("card_hash"), F.col("_size"), profile))
+    # of the outer form no filter is inferred, which would work the bands out once more below the projections
+    each = lambda df, c: df.select("*", F.posexplode_outer(c).alias("_k", "_band"))
+    met = each(asked, "_bands").join(each(held, "_held"), [*keys, "_size", "_k", "_band"])
+    before = F.exists(F.arrays_zip(F.slice("_bands", F.lit(1), F.col("_k")), F.slice("_held", F.lit(1), F.col("_k"))), lambda z: z["0"] == z["1"])
+    return met.where((F.col("_k") == 0) | ~before).drop("_size", "_bands", "_held", "_k", "_band")
+
+
 def hash_matches(scans: DataFrame, hashes: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
     """scans (keys, hash) against hashes (keys, card_hash, set_name): rows whose three scores reach the profile."""
-    joined = scans.join(hashes.select(*keys, "card_hash", "set_name"), keys)
-    good = reaches(F.col("hash"), F.col("card_hash"), F.lit(profile.two), F.lit(profile.four), F.lit(profile.string))
-    return joined.where(good).select(*scans.columns, "set_name")
+    pairs = banded_pairs(scans, hashes.select(*keys, "card_hash", "set_name"), profile, keys)
+    return pairs.where(reaches(F.col("hash_parts"), F.col("card_parts"), profile)).select(*scans.columns, "set_name")
 
 
 def matched_sets(
@@ -47,14 +65,16 @@ def matched_sets(
 ) -> DataFrame:
     """Sets of stored hashes, then of remote ones, without repeats: id_cols, sets.
 
-    Both kinds are compared in one pass, each by its own profile. With strict_db a scan without a
-    stored match gets none at all.
+    Each kind is compared by its own profile. With strict_db a scan without a stored match gets none at all.
     """
-    kind = lambda df, src: df.select(*keys, "card_hash", F.coalesce("set_name", F.lit("")).alias("s"), F.lit(src).alias("src"))
-    joined = scans.join(kind(stored, 0).unionByName(kind(remote, 1)), keys)
-    least = lambda name: F.when(F.col("src") == 0, getattr(STORED, name)).otherwise(getattr(REMOTE, name))
-    hits = joined.where(reaches(F.col("hash"), F.col("card_hash"), least("two"), least("four"), least("string")))
-    g = hits.groupBy(*id_cols).agg(F.sort_array(F.collect_set(F.struct("src", "s"))).alias("x"), F.min("src").alias("lo"))
+    asked = scans.select(*dict.fromkeys([*id_cols, *keys, "hash"]))
+
+    def hits(df: DataFrame, profile: Profile, src: int) -> DataFrame:
+        named = df.select(*keys, "card_hash", F.coalesce("set_name", F.lit("")).alias("set_name")).distinct()
+        return hash_matches(asked, named, profile, keys).select(*id_cols, F.col("set_name").alias("s"), F.lit(src).alias("src"))
+
+    every = hits(stored, STORED, 0).unionByName(hits(remote, REMOTE, 1))
+    g = every.groupBy(*id_cols).agg(F.sort_array(F.collect_set(F.struct("src", "s"))).alias("x"), F.min("src").alias("lo"))
     out = g.select(*id_cols, "lo", F.array_distinct(F.transform("x", lambda x: x["s"])).alias("sets"))
     return (out.where(F.col("lo") == 0) if strict_db else out).drop("lo")
 

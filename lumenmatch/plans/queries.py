@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import new_path, table
+from ..common import new_path, spread, table
 from ..functions import hashing, text
 from ..functions.geometry import LEFT, MIN_HEIGHT, MIN_WIDTH, REGIONS, crop_box, large_enough
 from ..operators import fuzzy, grams, routing, types, validation, verify
@@ -235,8 +235,9 @@ def _stored_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    j = _hashes(spark, d).join(_stored_hashes(spark, d), "label")
-    return j.select("vec_id", "set_name", *hashing.compare(F.col("hash"), F.col("card_hash")))
+    asked = spread(_hashes(spark, d), "vec_id").select("vec_id", "label", hashing.parts(F.col("hash")).alias("a"))
+    j = asked.join(_stored_hashes(spark, d).select("label", "set_name", hashing.parts(F.col("card_hash")).alias("b")), "label")
+    return j.select("vec_id", "set_name", *hashing.compare_parts(F.col("a"), F.col("b")))
 
 
 @registered(f"WITH {HASHES_SQL} SELECT vec_id, label, hash FROM hashes")

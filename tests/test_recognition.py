@@ -198,7 +198,7 @@ def test_profiles_around_their_thresholds(spark, k):
     near = "x" * k + HEX[k:]
     s = one(spark, *hashing.compare(F.lit(near), F.lit(HEX)))
     for p in (hashing.STORED, hashing.REMOTE):
-        got = one(spark, hashing.reaches(F.lit(near), F.lit(HEX), F.lit(p.two), F.lit(p.four), F.lit(p.string)).alias("x")).x
+        got = one(spark, hashing.reaches(hashing.parts(F.lit(near)), hashing.parts(F.lit(HEX)), p).alias("x")).x
         assert got == (s.two >= p.two and s.four >= p.four and s.string >= p.string)
 
 
