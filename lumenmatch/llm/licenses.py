@@ -23,6 +23,35 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, lower_ascii
 
+# The clauses of the BSD licences, and how they are numbered.
+BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+BSD_NUMBERS = [("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("(1) ", "(2) ", "(3) "), ("1) ", "2) ", "3) "), ("a. ", "b. ", "c. "), ("(a) ", "(b) ", "(c) ")]
+_BSD = [(f"BSD-{n}-Clause", " ".join([BSD_OPENING, *(m + c for m, c in zip(style[:n], BSD_CLAUSES, strict=False))])) for n in (3, 2) for style in BSD_NUMBERS]
+
+# The titles that licence files begin with.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+]
+
+# Identifiers that tags in source files name.
+SPDX = [
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
 # Fixed values: (licence, wording of a licence or notice), in the order in which rules are tried.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -41,10 +70,7 @@ NOTICES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. * Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    *_BSD,
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
@@ -62,22 +88,27 @@ NOTICES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    *TITLES,
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in SPDX),
 ]
 
 # What reserves rights without granting any.
 RESERVED = ["All rights reserved."]
 ALL_RIGHTS = "All-Rights-Reserved"
 
-# What may stand before the text of a line: indentation, then marks of comments, quotes and list bullets.
-_MARKS = r'(?m)^[ \t]*(?:(?://+|#+|\*+/?|/\*+|;+|--+|%+|>+|<!--|""")[ \t]*)*'
-_BLANK_LINES = r"[ \t\r]*\n[ \t\r]*(?:\n[ \t\r]*)+"
+# Runs of single characters only, so that a match needs neither recursion nor a second look, however long a run is.
+_BLANKS = r"[ \t\r]+"
+# What may stand before the text of a line: indentation and marks of comments, quotes and list bullets.
+_MARKS = r'(^|\n)[ /#*;%><!"-]+'
+_BLANK_LINES = r" ?\n ?\n[ \n]*"
 _WRAP, _END = "\x1e", "\x1d"
-_STOP = r"([.!?;:])[ \t\r\x1e]+"
+_STOP = r"([.!?;:])[ \x1e]+"
 
 
 def cut(text: str) -> list[str]:
     """Normalised sentences of a fixed text, as ``sentences`` has them."""
-    found = re.sub(_STOP, rf"\1{_END}", re.sub(_MARKS, "", text).replace("\n", _WRAP)).split(_END)
+    bare = re.sub(_BLANK_LINES, _END, re.sub(_MARKS, r"\1", re.sub(_BLANKS, " ", text)))
+    found = re.sub(_STOP, rf"\1{_END}", bare.replace("\n", _WRAP)).split(_END)
     plain = [" ".join(re.sub("[^a-z0-9]+", " ", s.translate(str.maketrans(UPPER, LOWER))).split()) for s in found]
     return [s for s in plain if s]
 
@@ -97,7 +128,7 @@ def _plain(sentence: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences as they are, with a mark where a line was wrapped."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), _MARKS, "")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _BLANKS, " "), _MARKS, "$1")
     joined = F.replace(F.regexp_replace(bare, _BLANK_LINES, _END), F.lit("\n"), F.lit(_WRAP))
     return F.filter(F.split(F.regexp_replace(joined, _STOP, f"$1{_END}"), _END), lambda s: s.rlike("[A-Za-z0-9]"))
 
@@ -146,7 +177,7 @@ def scan_sql(table: str = "documents", notices: list[tuple[str, str]] = NOTICES,
     pairs = ", ".join(f"('{s}', {k})" for s, k in known.items())
     wrap, end = "chr(30)", "chr(29)"
     marks = _MARKS.replace("'", "''")
-    text = f"regexp_replace(coalesce(text, ''), '{marks}', '', 'g')"
+    text = f"regexp_replace(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g'), '{marks}', '\\\\1', 'g')"
     text = f"replace(regexp_replace({text}, '{_BLANK_LINES}', {end}, 'g'), chr(10), {wrap})"
     text = f"string_split(regexp_replace({text}, '{_STOP}', '\\1' || {end}, 'g'), {end})"
     plain = f"trim(regexp_replace(translate({{}}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     out = np.zeros((len(source), META + 2), np.float32)
     for r, (s, g, n) in enumerate(zip(source, lang, n_chars, strict=True)):
         for name in (f"s{s}", f"l{g}", f"n{None if n is None else int(max(n, 0)).bit_length()}"):
-            out[r, int(A.mix(np.array([int.from_bytes(name.encode()[:24], "little") % (1 << 63)], np.uint64))[0] % np.uint64(META))] = 1
+            out[r, xxhash.xxh64_intdigest(name.encode()) % META] = 1
         out[r, META] = 0 if n is None else np.log1p(max(n, 0)) / 8
         out[r, META + 1] = n is None
     return out
@@ -209,13 +210,18 @@ def _confident(pool: DataFrame, beta: list[np.ndarray], n: int) -> list[tuple]:
     return out
 
 
+def _one_each(df: DataFrame) -> DataFrame:
+    """Of the rows of each doc_id the smallest."""
+    return df.groupBy("doc_id").agg(F.min(F.struct(*[c for c in df.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exchange: int = EXCHANGE) -> Model | None:
     """docs (doc_id, text, source, lang, n_chars) and labels (doc_id, good 0/1) -> Model."""
     labels = labels.dropna().groupBy("doc_id").agg(F.min("good").cast("int").alias("good"))
     labels = labels.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0)
     some = [labels.where(F.col("good") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = materialize(some[0].unionByName(some[1]))
-    known = materialize(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    known = materialize(_one_each(docs.join(F.broadcast(chosen), "doc_id")))
     have = {(r.good, r.held): r["n"] for r in known.groupBy("good", "held").agg(F.count("*").alias("n")).collect()}
     if any(have.get((k, True), 0) + have.get((k, False), 0) < LEAST or min(have.get((k, h), 0) for h in (True, False)) < 5 for k in (0, 1)):
         return None
@@ -224,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exchange: in
     pool = feats.join(small_side(labels.select("doc_id")), "doc_id", "left_anti").drop("doc_id").distinct()
     pool = materialize(pool.select(F.xxhash64(*pool.columns).alias("key"), "*"))
     n = min(exchange, max(1, int(CONFIDENT * pool.count())))
-    rows = feats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = _one_each(feats.join(F.broadcast(chosen), "doc_id")).orderBy("doc_id").collect()
     text, meta = _views(*([r[c] for r in rows] for c in ("seen", "rest", "source", "lang", "n_chars")))
     good, held = np.array([r.good for r in rows]), np.array([r.held for r in rows])
     x = [text[~held], meta[~held]]

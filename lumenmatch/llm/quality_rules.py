@@ -18,7 +18,8 @@ is a (doc_id, text); repeated rows count once.
 
 Defined results: null text is empty, has zero counts and fails the base rule. A null host
 is a host of its own. Repeated rows get the same verdict each. An empty table gives an
-empty result. Extra columns are ignored by ``judge`` and kept by ``keep_documents``.
+empty result. Extra columns are ignored by ``judge`` and kept by ``clean_documents``. Of rows that
+repeat an id and a text under several hosts, all go if one is rejected, and the lines of one host go.
 """
 
 from __future__ import annotations
@@ -136,23 +137,17 @@ def judge(
     return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * F.col("removed_words") <= depleted_percent * F.col("n_words")))
 
 
-def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    key, text = private(docs, "_id", "_k")
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that the rules keep, their texts without boilerplate lines, with all other columns as they are."""
+    key, text, kept, gone = private(docs, "_id", "_k", "_kept", "_gone")
     verdict = judge(docs, id_col, text_col, host_col)
-    bad = small_side(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_key").alias(text)).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (text_key(F.col(text_col)) == F.col(text)), "left_anti")
-
-
-def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id and the text without boilerplate lines, for the documents that have some."""
-    removed = judge(docs, id_col, text_col, host_col).where(F.size("positions") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_k"), "positions"
-    ).dropDuplicates(["_id", "_k"])
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    d = d.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("_t")) == F.col("_k")))
-    left = F.filter(F.split("_t", "\n"), lambda x, i: ~F.array_contains("positions", i))
-    return d.select("doc_id", F.array_join(left, "\n").alias("text"))
+    changes = verdict.where(~F.col("kept") | (F.size("positions") > 0)).groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text)).agg(
+        F.min("kept").alias(kept), F.min("positions").alias(gone)
+    )
+    mine = F.col(id_col).eqNullSafe(F.col(key)) & (text_key(F.col(text_col)) == F.col(text))
+    joined = docs.join(small_side(changes), mine, "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return joined.withColumn(text_col, F.when(F.size(gone) > 0, left).otherwise(F.col(text_col))).drop(key, text, kept, gone)
 
 
 def judge_sql(table: str = "documents") -> str:

@@ -155,6 +155,31 @@ def test_held_out_secrets_that_no_pattern_and_no_keyword_tells(spark):
     assert share(1) >= 0.9 and share(0) <= 0.1, (share(1), share(0))
 
 
+def test_training_takes_the_value_of_an_assignment(spark):
+    values = {1: ("password = ", "abcd1234=="), 2: ("API_KEY: '", "a=b=c1d2e3"), 3: ('token":"', "xyz.123=q")}
+    docs = spark.createDataFrame([(k, f"some words {a}{v} and more") for k, (a, v) in values.items()], "doc_id long, text string")
+    got = secrets.labelled(secrets.find_candidates(docs)).where("label = 1").collect()
+    assert {r.value for r in got} >= {v for _, v in values.values()}
+    assert all(r.before.endswith(a) for r in got for a, v in values.values() if r.value == v)
+
+
+def test_metadata_is_hashed_whole():
+    from lumenmatch.llm import quality_classifier
+
+    names = ["example.com", "example.net", "example-longer.org", "example-longer.info"]
+    x = quality_classifier.meta_features(names, ["en"] * 4, [10] * 4)
+    assert len({r.tobytes() for r in x}) == 4
+
+
+def test_of_repeated_ids_the_smallest_row_is_taken(spark):
+    from lumenmatch.llm import quality_classifier
+
+    rows = [(1, "b", None), (1, "a", 3), (2, None, 1), (1, "a", 2)]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(n)
+        assert sorted(map(tuple, quality_classifier._one_each(df).collect())) == [(1, "a", 2), (2, None, 1)]
+
+
 def test_long_candidates_are_read_whole():
     """What tells a secret may stand anywhere in the candidate."""
     import numpy as np

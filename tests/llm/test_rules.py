@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lumenmatch.llm import decontaminate, licenses, quality_rules, url_filter
 
 from .conftest import SCHEMA, edited, rows_of, sentence
@@ -46,15 +48,20 @@ def test_boilerplate_documents_are_rejected_and_copies_are_not(spark, empty):
     kept = {v.doc_id: v.kept for v in quality_rules.judge(df).collect()}
     assert not any(kept[k] for k in range(40)) and all(kept[k] for k in range(40, 60))
     assert all(kept[k] for k in kept if k >= 100)
-    out = quality_rules.keep_documents(df)
+    out = quality_rules.clean_documents(df)
     assert out.columns == df.columns and {x.doc_id for x in out.collect()} == {k for k, v in kept.items() if v}
-    bare = {x.doc_id: x.text for x in quality_rules.strip_lines(df).collect()}
+    bare = {x.doc_id: x.text for x in out.collect()}
     assert bare[50] == rows[50][1].split("\n")[-1]
     assert quality_rules.judge(empty).count() == 0
 
 
 def brute_kept(rows):
     """{(id, text): (removed words, kept)} of (id, text, host) rows, straight from the definition."""
+    return {k: v[:2] for k, v in brute_cleaned(rows).items()}
+
+
+def brute_cleaned(rows):
+    """{(id, text): (removed words, kept, text without boilerplate lines)}."""
     docs = {(i, t or "", h) for i, t, h in rows}
     lines = {d: [(" ".join(words_of(x)).translate({k: k + 32 for k in range(65, 91)}), words_of(x)) for x in d[1].split("\n") if words_of(x)] for d in docs}
     longest = lambda w: max((len(x), x.encode()) for x in w)
@@ -72,7 +79,9 @@ def brute_kept(rows):
         hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
         gone = sum(len(v) for x, v in lines[i, t, host] if (host, x) in boiler)
         base = len(w) >= 50 and 100 * len(hit) <= 50 * len(w)
-        out[i, t] = (gone, base and len(w) - gone >= 50 and 100 * gone <= 70 * len(w))
+        plain = lambda x: " ".join(words_of(x)).translate({k: k + 32 for k in range(65, 91)})
+        left = "\n".join(x for x in t.split("\n") if (host, plain(x)) not in boiler)
+        out[i, t] = (gone, base and len(w) - gone >= 50 and 100 * gone <= 70 * len(w), left)
     return out
 
 
@@ -105,7 +114,7 @@ def test_verdicts_equal_brute_force(spark):
 def test_keep_documents_with_clashing_columns(spark):
     rows = [(1, "few words", 1, 2, 3, 4, "s"), (2, " ".join(f"w{k}" for k in range(60)), 1, 2, 3, 4, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _k int, known int, h int, source string")
-    kept = quality_rules.keep_documents(docs)
+    kept = quality_rules.clean_documents(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
@@ -143,6 +152,26 @@ def test_spans_are_removed_and_the_rest_stays(spark, docs):
     assert got[next(i for i in changed if before[i].endswith("five"))] == "one two four five"
 
 
+@pytest.mark.parametrize("run", ["\n", "# ", "* ", "> ", "-- ", " ", "\t", ". ", "\r\n", "/", "<!--", "x ; "])
+def test_licenses_in_very_long_runs(spark, run):
+    text = "Released under the MIT License." + run * (10**6 // len(run)) + "\nLicensed under CC BY 4.0."
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.licenses.split(",")[-1] == "CC-BY-4.0" and (got.licenses == "MIT,CC-BY-4.0" or run in ("/", "x ; ", "<!--"))
+
+
+def test_license_files_tags_and_numbered_clauses(spark):
+    clauses = [f"   ({k}) {c}" for k, c in enumerate(licenses.BSD_CLAUSES, 1)]
+    texts = {
+        "MIT": "// SPDX-License-Identifier: MIT\nint main() {}\n", "GPL-3.0": "#!/bin/sh\n# SPDX-License-Identifier: GPL-3.0-or-later\n\necho",
+        "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n",
+        "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n",
+        "BSD-3-Clause": "\n".join([licenses.BSD_OPENING, "", *clauses]), "BSD-2-Clause": "\n".join([licenses.BSD_OPENING, *clauses[:2]]),
+        "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+    }
+    got = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {k: k for k in texts}
+
+
 def test_licenses(spark, empty):
     full = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance\nwith the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     rows = [(1, "Text.\nReleased under the MIT License.\nMore."), (2, full), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."), (6, "Released under the MIT License"), (7, "not released under the mit license")]
