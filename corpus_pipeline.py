@@ -25,12 +25,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go.
+    """Documents that the quality rules reject go; boilerplate lines are cut from the others.
 
     Null and empty texts have too few words and go; rows that repeat an id and a text get one
     verdict; ids that repeat with other texts, and null ids, are judged by their text.
     """
-    return quality_rules.keep_documents(docs)
+    return _measured(quality_rules.clean_documents(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
