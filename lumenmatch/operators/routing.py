@@ -71,6 +71,6 @@ def audited(rows: DataFrame, writer: str = "lumenmatch") -> DataFrame:
     return rows.withColumns({"created_at": now, "updated_at": now, "created_by": F.lit(writer), "updated_by": F.lit(writer)})
 
 
-def transaction_log(rows: DataFrame, table: str, kind: str, key: str) -> DataFrame:
-    """One audit row per written row: transaction_type, is_successful, table_name, pk."""
-    return rows.select(F.lit(kind).alias("transaction_type"), F.lit(True).alias("is_successful"), F.lit(table).alias("table_name"), F.col(key).alias("pk"))
+def transaction_log(rows: DataFrame, table: str, kind: str, key: str, successful: bool) -> DataFrame:
+    """One audit row per row of a write: transaction_type, is_successful, table_name, pk."""
+    return rows.select(F.lit(kind).alias("transaction_type"), F.lit(successful).alias("is_successful"), F.lit(table).alias("table_name"), F.col(key).alias("pk"))

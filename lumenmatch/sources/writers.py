@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.routing import audited, insert_if_absent
+from ..operators.routing import audited
 from ..schemas import KEYS, TABLES
+from .keyed import insert_absent
 
 
 def seed_dictionary(names: DataFrame, path: str) -> None:
@@ -16,14 +17,15 @@ def seed_dictionary(names: DataFrame, path: str) -> None:
 
 def insert_rows(spark: SparkSession, table: str, rows: DataFrame, database: str = "default") -> None:
     """Append rows whose key the table lacks, with audit columns; columns are picked by the table's schema."""
-    target = spark.table(f"{database}.{table}")
-    keys = KEYS.get(table)
-    fresh = audited(insert_if_absent(target, rows, keys) if keys else rows)
-    have = {f.name: f.dataType for f in target.schema}
+    name, keys = f"{database}.{table}", KEYS.get(table)
+    target = spark.table(name)
     id_col = TABLES[table].split(" ", 1)[0]
-    fresh = fresh.withColumn(id_col, F.xxhash64(*(keys or sorted(set(rows.columns) & set(have)))))
-    picked = [(F.col(c) if c in fresh.columns else F.lit(None)).cast(t).alias(c) for c, t in have.items()]
-    fresh.select(*picked).write.mode("append").insertInto(f"{database}.{table}")
+    rows = audited(rows).withColumn(id_col, F.xxhash64(*(keys or sorted(set(rows.columns) & set(target.columns)))))
+    if keys:
+        insert_absent(spark, name, rows, keys)
+        return
+    picked = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema]
+    rows.select(*picked).write.mode("append").insertInto(name)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -98,7 +98,7 @@ def test_upserts_and_inserts(spark):
     got = {(r.name, r.set_name): r.quantity for r in routing.collection_upsert(have, new).collect()}
     assert got == {("a", "x"): 4, ("c", "y"): 1}
     assert sorted(r.name for r in routing.insert_if_absent(have, new.dropna(), ["name", "set_name"]).collect()) == ["c"]
-    log = routing.transaction_log(routing.audited(new), "t", "insert", "name")
+    log = routing.transaction_log(routing.audited(new), "t", "insert", "name", True)
     assert log.columns == ["transaction_type", "is_successful", "table_name", "pk"]
 
 
