@@ -12,11 +12,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import crop_box, large_enough
 from ..functions.text import base64_text, clean_text
+from ..sources.readers import read_images_checked
 
 # Fixed values of the filter chain.
 CONTRAST = 0.73
@@ -118,6 +119,12 @@ def hash_images(images: DataFrame, side: int = SIDE) -> DataFrame:
     return images.select("id", "width", "height", "channels", "data").mapInArrow(run, f"id {kind}, hash string")
 
 
+def hash_paths(spark: SparkSession, paths: list[str], side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """Hashes of images by path: (path, hash), and (path, error) of paths that are no image. Paths are those of any store that Spark reads."""
+    good, bad = read_images_checked(spark, paths)
+    return hash_images(from_image_source(good), side).withColumnRenamed("id", "path"), bad
+
+
 class Extractor(Protocol):
     """Reads text from a preprocessed snippet; built once per task by the factory given to extract_text."""
 

@@ -13,12 +13,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..common import new_path, spread, table
 from ..functions import hashing, text
 from ..functions.geometry import LEFT, MIN_HEIGHT, MIN_WIDTH, REGIONS, crop_box, large_enough
 from ..operators import fuzzy, grams, routing, types, validation, verify
-from .backfill import backfill
+from ..schemas import TABLES
+from ..sources import keyed, readers
+from .backfill import Ledger, backfill, run_backfill
 from .backfill import cards_by_set as by_set
 from .backfill import dictionary_slice as slice_of
 from .recognition import recognise
@@ -394,11 +397,40 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return routing.insert_if_absent(p.where(F.col("p_type") != "PROMO"), new, ["name", "set_name"])
 
 
+def _keyed(spark: SparkSession, columns: str) -> str:
+    """A keyed table of its own in the shared folder."""
+    path = new_path(spark)
+    name = "keyed_" + path.rsplit("/", 1)[1]
+    keyed.create_keyed(spark, name, columns, 8, path)
+    return name
+
+
+@registered(SQL["collection_upsert"])
+def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The collection as a keyed table, and a batch of new cards that is given twice."""
+    name = _keyed(spark, "name string, set_name string, quantity bigint, batches array<string>")
+    new = _part(spark, d).where(F.col("p_type") == "PROMO").select(F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.lit(1).alias("quantity"))
+    for batch, rows in (("have", _collection(spark, d)), ("new", new), ("new", new)):
+        keyed.upsert(spark, name, rows, ["name", "set_name"], batch)
+    return spark.table(name).select("name", "set_name", "quantity")
+
+
+@registered("SELECT DISTINCT p_name AS name, p_brand AS set_name, CASE WHEN count(CASE WHEN p_type <> 'PROMO' THEN 1 END) > 0 THEN 0 ELSE 1 END AS batch FROM part GROUP BY 1, 2")
+def keyed_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Two inserts into a keyed table, the second with keys that are there and keys that are not."""
+    name = _keyed(spark, "name string, set_name string, batch int")
+    p = _part(spark, d).select(F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.when(F.col("p_type") == "PROMO", 1).otherwise(0).alias("batch"))
+    for batch in (0, 1):
+        keyed.insert_absent(spark, name, p.where(F.col("batch") == batch), ["name", "set_name"])
+    return spark.table(name).select("name", "set_name", "batch")
+
+
 @registered("SELECT p_brand AS set_name, count(1) AS cards_in_set, row_number() OVER (ORDER BY count(1) DESC, p_brand DESC) AS place FROM part GROUP BY p_brand")
 def cards_by_set(spark: SparkSession, d: str) -> DataFrame:
     """The report with the places in which it lists its sets, a row for each set."""
-    listed = by_set(_part(spark, d).select(F.col("p_brand").alias("set_name"))).coalesce(1)
-    return listed.withColumn("place", F.monotonically_increasing_id() + 1)
+    listed = by_set(_part(spark, d).select(F.col("p_brand").alias("set_name")))
+    place = F.row_number().over(Window.orderBy(F.desc("cards_in_set"), F.desc("set_name")))  # a row per set
+    return listed.withColumn("place", place.cast("long"))
 
 
 @registered(f"SELECT name, n AS place FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM ({NAMES_SQL})) WHERE n >= 10 AND n < 40")
@@ -429,6 +461,33 @@ def backfill_hashes(spark: SparkSession, d: str) -> DataFrame:
     return new.select("name", "set_name", "card_hash", "is_promo")
 
 
+@registered("SELECT DISTINCT p_name AS name, p_brand AS set_name, sha256('http://images/' || p_brand || '/' || p_name || '.jpg') AS card_hash FROM part WHERE p_size <> 3")
+def backfill_run(spark: SparkSession, d: str) -> DataFrame:
+    """A back-fill in slices that stops after one, is run again and goes on, over images that a third run finds stored."""
+    p = _part(spark, d).where(F.col("p_size") != 3)
+    url = F.concat(F.lit("http://images/"), "p_brand", F.lit("/"), "p_name", F.lit(".jpg"))
+    printings = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), F.lit(False).alias("is_foil"), F.lit(False).alias("is_promo"), url.alias("image_url")).distinct()
+    table_ = _keyed(spark, TABLES["card_hashes"])
+    names, ledger = fuzzy.dictionary_of(p, "p_name"), Ledger(spark, new_path(spark))
+    digest = lambda urls: urls.select("image_url", F.sha2("image_url", 256).alias("hash"))
+    none = lambda urls: digest(urls).withColumn("hash", F.when(F.lit(True), F.raise_error(F.lit("hashed twice"))).otherwise(F.col("hash")))
+    run_backfill(names, printings, digest, table_, ledger, 40, 1)
+    run_backfill(names, printings, digest, table_, ledger, 40)
+    run_backfill(names, printings, none, table_, Ledger(spark, new_path(spark)), 40)
+    return spark.table(table_).select("name", "set_name", "card_hash")
+
+
+@registered("SELECT p_partkey, p_size % 5 = 0 OR p_size % 7 = 0 AS rejected, CASE WHEN p_size % 5 <> 0 AND p_size % 7 <> 0 THEN p_brand END AS set_name FROM part")
+def checked_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards as JSON text, some cut short, some no JSON at all: what parses and what is rejected."""
+    card = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("set_name"), F.struct(F.lit("1").alias("usd")).alias("prices")))
+    broken = F.when(F.col("p_size") % 5 == 0, F.expr("substring(j, 1, length(j) - 4)")).when(F.col("p_size") % 7 == 0, F.lit("<html>")).otherwise(F.col("j"))
+    rows = _part(spark, d).select("p_partkey", "p_size", card.alias("j")).withColumn("j", broken)
+    good, bad = readers.parse_checked(rows, "j")
+    good = good.select(F.col("name").cast("long").alias("p_partkey"), F.lit(False).alias("rejected"), "set_name")
+    return good.unionByName(bad.select("p_partkey", F.lit(True).alias("rejected"), F.lit(None).cast("string").alias("set_name")))
+
+
 # --- types --------------------------------------------------------------------------------
 
 

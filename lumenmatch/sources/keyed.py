@@ -26,9 +26,11 @@ PROBES = 4
 LEAST_BITS = 1 << 10
 
 
-def create_keyed(spark: SparkSession, table: str, columns: str, buckets: int) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, bucket int) USING parquet PARTITIONED BY (bucket) TBLPROPERTIES ('buckets' = '{buckets}')")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table}_keys (n bigint, bits binary, bucket int) USING parquet PARTITIONED BY (bucket)")
+def create_keyed(spark: SparkSession, table: str, columns: str, buckets: int, folder: str | None = None) -> None:
+    """The table and the one of its filters, if absent; under folder, or in the warehouse if none is given."""
+    at = lambda name: f"LOCATION '{folder}/{name}'" if folder else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, bucket int) USING parquet PARTITIONED BY (bucket) {at('rows')} TBLPROPERTIES ('buckets' = '{buckets}')")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table}_keys (n bigint, bits binary, bucket int) USING parquet PARTITIONED BY (bucket) {at('keys')}")
 
 
 def truncate_keyed(spark: SparkSession, table: str) -> None:

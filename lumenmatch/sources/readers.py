@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import materialize
 from ..functions.text import extension
 from ..schemas import CARD
 
@@ -36,6 +37,32 @@ def parse_cards(rows: DataFrame, column: str) -> DataFrame:
     return printings_of(rows.select(F.from_json(column, CARD).alias("c")).select("c.*"))
 
 
+def parse_checked(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Cards as JSON text in a column -> (flat printings, the rows whose text is no card, with it as it was)."""
+    c = F.from_json(column, f"{CARD}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = rows.where(F.col(column).isNotNull()).withColumn("_c", c)
+    bad = F.col("_c").isNull() | F.col("_c._corrupt").isNotNull()
+    return printings_of(parsed.where(~bad).select("_c.*")), parsed.where(bad).drop("_c")
+
+
+def read_cards_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """List envelopes as read_cards has them -> (flat printings, path and text of files that are no envelope)."""
+    options = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    d = spark.read.schema(f"{_ENVELOPE}, _corrupt string").options(**options).json(path).select("*", F.col("_metadata.file_path").alias("path"))
+    d = materialize(d)
+    cards = d.where(F.col("_corrupt").isNull()).select(F.explode("data").alias("c")).select("c.*")
+    return printings_of(cards), d.where(F.col("_corrupt").isNotNull()).select("path", F.col("_corrupt").alias("text"))
+
+
+def read_bulk_cards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A catalogue in one large file, an array with a card a line or JSON lines -> (flat printings, path and text of bad lines).
+
+    Lines are split among tasks, however large the file is.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.trim("value"), ",$", "").alias("text"))
+    return parse_checked(lines.where(~F.col("text").isin("", "[", "]")), "text")
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("name")
 
@@ -56,6 +83,13 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path)
 
 
+def read_images_checked(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Images by path -> (decoded images, path and error of those that are no image)."""
+    images = materialize(spark.read.format("image").option("dropInvalid", False).load(paths))
+    bad = F.col("image.height") <= 0
+    return images.where(~bad), images.where(bad).select(F.col("image.origin").alias("path"), F.lit("No image").alias("error"))
+
+
 def read_image_bytes(spark: SparkSession, path: str, suffix: str = "jpg") -> DataFrame:
     """Undecoded files with the suffix: path, content."""
     return spark.read.format("binaryFile").load(path).where(extension(F.col("path")) == suffix).select("path", "content")
