@@ -42,6 +42,8 @@ MAX_SKETCH_BITS = 20
 BLOCK_TOKENS = 500_000
 FLUSH = 1_000_000
 HOT_FACTOR = 8
+HOT_LEAST = 2000
+TASK_ROWS = 1 << 21
 EXTRA = 4
 
 
@@ -100,9 +102,11 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
 def shared_prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """Prefix shingles that classes of compatible size share: token, sid, n (its shingles), cnt (classes with the token)."""
     spark = docs.sparkSession
-    buckets = partitions(spark) * 2
+    # of a set of n shingles some n * (100 - percent + EXTRA) / 100 are in its prefix
+    buckets = max(2 * partitions(spark), -(-int(counts.sum()) * (100 - percent + EXTRA) // (100 * TASK_ROWS)))
     held = spark.sparkContext.broadcast(counts)
-    hot_from = int(max(2000, HOT_FACTOR * counts.mean()))
+    # a token that is not hot stands in one bucket, so its limit is also what a task may hold
+    hot_from = int(max(HOT_LEAST, min(HOT_FACTOR * counts.mean(), max(TASK_ROWS, 2 * counts.mean()))))
     top = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

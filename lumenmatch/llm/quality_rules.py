@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, LOWER, UPPER, blank_words, lower_ascii, materialize, private, small_side, text_key
+from .common import BLANK_RUN, BLANKS, LOWER, UPPER, blank_words, counted_side, join_skewed, lower_ascii, materialize, private, small_side, text_key
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -93,8 +93,16 @@ def _same_host(a: str, b: str) -> Column:
     return F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host"))
 
 
-def _by_host(lines: DataFrame, *aggregates: Column) -> DataFrame:
-    return small_side(lines.groupBy("host").agg(F.collect_list("h").alias("known"), *aggregates), HOSTS)
+def _with_host_lines(rows: DataFrame, lines: DataFrame, *aggregates: Column) -> DataFrame:
+    """rows with known, the lines (host, h) of their host (null if it has none), and the aggregates of these.
+
+    Beyond HOSTS hosts the look-up is a join on the host, of which the hosts with many rows are broadcast.
+    """
+    found, small = counted_side(lines.groupBy(F.col("host").alias("_host")).agg(F.collect_list("h").alias("known"), *aggregates), HOSTS)
+    if small:
+        return rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    key = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), c))
+    return join_skewed(rows.withColumn("_key", key("host")), found.withColumn("_key", key("_host")).drop("_host"), "_key").drop("_key")
 
 
 def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -107,10 +115,8 @@ def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: f
     counts = texts.select("host", "doc_id", "text_key", F.explode(F.array_distinct(hashes)).alias("h")).distinct()
     counts = counts.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_documents)
     found = counts.alias("c").join(hosts.alias("n"), _same_host("c", "n")).where(F.col("docs") > F.col("limit"))
-    found = _by_host(found.select("c.host", "h", "limit"), F.max("limit").alias("limit"))
-    carriers = texts.alias("t").join(found.alias("f"), _same_host("t", "f")).select(
-        "t.host", "limit", "lines", F.array_intersect(hashes, F.col("known")).alias("has")
-    )
+    carriers = _with_host_lines(texts, found.select("c.host", "h", "limit"), F.max("limit").alias("limit")).where(F.col("known").isNotNull())
+    carriers = carriers.select("host", "limit", "lines", F.array_intersect(hashes, F.col("known")).alias("has"))
     rest = F.filter("lines", lambda x: ~F.array_contains(F.col("has"), x["h"]))
     vote = F.coalesce(F.array_max(F.transform(rest, lambda x: x["longest"]))["word"], F.lit(""))
     votes = carriers.where(F.size("has") > 0).select("host", "limit", F.explode("has").alias("h"), vote.alias("vote"))
@@ -125,12 +131,11 @@ def judge(
 ) -> DataFrame:
     """Per row of docs: doc_id, text_key, the base counts, base_failed, removed_words, positions (removed lines) and kept."""
     rows = materialize(document_lines(docs, id_col, text_col, host_col))
-    known = _by_host(frequent_lines(rows, min_documents, share))
-    joined = rows.alias("d").join(known.alias("k"), _same_host("d", "k"), "left")
+    joined = _with_host_lines(rows, frequent_lines(rows, min_documents, share))
     hit = F.when(F.col("known").isNull(), F.array().cast(rows.schema["lines"].dataType)).otherwise(
         F.filter("lines", lambda x: F.array_contains("known", x["h"]))
     )
-    joined = joined.select("d.*", hit.alias("_hit")).drop("lines", "host")
+    joined = joined.withColumn("_hit", hit).drop("lines", "host", "known")
     gone = F.aggregate("_hit", F.lit(0), lambda a, x: a + x["words"]).cast("long")
     out = joined.withColumn("removed_words", gone).withColumn("positions", F.transform("_hit", lambda x: x["pos"])).drop("_hit")
     left = F.col("n_words") - F.col("removed_words")

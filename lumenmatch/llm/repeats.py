@@ -45,6 +45,7 @@ FLUSH = 200_000
 HOT_LEAST = 20_000
 HOT_FACTOR = 8
 MAX_SKETCH_BITS = 20
+TASK_ROWS = 1 << 21
 SLICE = 1000
 _TOP = np.uint64((1 << 64) - 1)
 
@@ -166,7 +167,7 @@ def _exchange(tagged: DataFrame, work) -> DataFrame:
 
 
 def frequent_grams(docs: DataFrame, length: int, depth: int, least: int):
-    """A function from gram hashes to whether they are frequent, by bucket counts over the anchors of all documents."""
+    """What tells frequent grams, by bucket counts over the anchors of all documents, and how many anchors there are."""
 
     def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, off in A.text_chunks(b.column(0)):
@@ -174,8 +175,8 @@ def frequent_grams(docs: DataFrame, length: int, depth: int, least: int):
 
     bits = min(MAX_SKETCH_BITS, max(16, docs.count().bit_length()))
     counts = A.bucket_totals(docs.select("text"), hashes, bits)
-    hot = np.packbits(counts >= max(least, HOT_FACTOR * counts.mean()))
-    return docs.sparkSession.sparkContext.broadcast((hot, bits))
+    hot = np.packbits(counts >= max(least, min(HOT_FACTOR * counts.mean(), max(TASK_ROWS, 2 * counts.mean()))))
+    return docs.sparkSession.sparkContext.broadcast((hot, bits)), int(counts.sum())
 
 
 def _is_hot(held, gram: np.ndarray) -> np.ndarray:
@@ -184,9 +185,14 @@ def _is_hot(held, gram: np.ndarray) -> np.ndarray:
     return (hot[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def gram_rows(docs: DataFrame, length: int, depth: int, held) -> DataFrame:
+def _buckets(docs: DataFrame, rows: int) -> int:
+    """As many buckets as keep each at about TASK_ROWS of the counted rows."""
+    return max(2 * partitions(docs.sparkSession), -(-rows // TASK_ROWS))
+
+
+def gram_rows(docs: DataFrame, length: int, depth: int, held, rows: int) -> DataFrame:
     """First digit: grams shared by documents, as rows: covered where the whole context is in a smaller document, else open."""
-    buckets = partitions(docs.sparkSession) * 2
+    buckets = _buckets(docs, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -252,12 +258,28 @@ def _opened(texts: pa.Array) -> list[bytes]:
 
 
 def _agreeing(side: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by group, then by the bytes of side; and how many bytes each shares with the row before (-1: other group)."""
+    """Order of the rows by group, then by the bytes of side; and how many bytes each shares with the row before (-1: other group).
+
+    The bytes are taken most significant digit first, eight to a digit. A pass orders the rows
+    of the groups still open by their next digit, and closes those that are then alone.
+    """
     n, width = side.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = side
-    digits = padded.view(">u8")
-    order = np.lexsort((*digits.T[::-1], groups))
+    digits = padded.view(">u8").astype(np.uint64)
+    order = np.argsort(groups, kind="stable")
+    place, group = np.arange(n), groups[order]
+    for digit in digits.T:
+        new = _starts([group], len(place))
+        at = np.flatnonzero(new)
+        open_ = np.repeat(np.diff(np.r_[at, len(place)]) > 1, np.diff(np.r_[at, len(place)]))
+        place, group = place[open_], group[open_]
+        if not len(place):
+            break
+        rows = order[place]
+        by = np.lexsort((digit[rows], group))
+        order[place] = rows = rows[by]
+        group = np.cumsum(_starts([group, digit[rows]], len(place)))
     side, groups = side[order], groups[order]
     differs = side[1:] != side[:-1]
     shared = np.where(differs.any(1), differs.argmax(1), width)
@@ -307,8 +329,9 @@ def window_rows(docs: DataFrame, open_grams: DataFrame, length: int, depth: int)
     The context bytes of a gram go to the gram's bucket and are ordered there. Frequent grams send
     fingerprints of their windows instead, dealt by these.
     """
-    buckets = partitions(docs.sparkSession) * 2
     side = length - depth
+    # a frequent gram sends up to each of its windows
+    buckets = _buckets(docs, 4 * (open_grams.agg(F.sum(F.when(F.col("state") == 2, side + 1).otherwise(1))).first()[0] or 0))
     size = 2 * side + depth
     grams = F.collect_list(F.when(F.col("state") == 0, F.col("pos")))
     wanted = open_grams.groupBy("doc_id", "twin").agg(grams.alias("plain"), F.collect_list(F.when(F.col("state") == 2, F.col("pos"))).alias("frequent"))
@@ -385,7 +408,7 @@ def window_rows(docs: DataFrame, open_grams: DataFrame, length: int, depth: int)
 
 def covered(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, hot_least: int = HOT_LEAST) -> DataFrame:
     """Covered windows by document (doc_id, twin): runs of (pos, mask)."""
-    rows = materialize(gram_rows(docs, length, depth, frequent_grams(docs, length, depth, hot_least)))
+    rows = materialize(gram_rows(docs, length, depth, *frequent_grams(docs, length, depth, hot_least)))
     windows = window_rows(docs, rows.where(F.col("state") != 1), length, depth)
     both = rows.where(F.col("state") == 1).unionByName(windows)
     return both.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("pos", "mask")).alias("runs"))

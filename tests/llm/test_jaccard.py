@@ -28,6 +28,8 @@ def test_components_equal_brute_force(docs, texts):
 
 def test_small_blocks_and_hot_shingles_give_the_same(docs, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 50)
     got = jaccard.component_ids(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts)
 

@@ -19,8 +19,9 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("hot_least", [repeats.HOT_LEAST, 2])
-def test_removal_equals_brute_force(docs, texts, hot_least):
+@pytest.mark.parametrize(("hot_least", "task_rows"), [(repeats.HOT_LEAST, repeats.TASK_ROWS), (2, repeats.TASK_ROWS), (repeats.HOT_LEAST, 300), (2, 100)])
+def test_removal_equals_brute_force(docs, texts, hot_least, task_rows, monkeypatch):
+    monkeypatch.setattr(repeats, "TASK_ROWS", task_rows)
     got = repeats.remove_repeats(docs, hot_least=hot_least).collect()
     assert len(got) == len(texts) + 2
     want = brute(texts)
@@ -62,6 +63,20 @@ def test_masks_equal_brute_force():
         assert [k for k in range(n) if got[k] >> o & 1] == [k for k in rows if key[text[k]] < doc[k]]
 
 
+def test_digit_passes_order_like_whole_keys():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    side, groups = r.integers(97, 99, (400, 19)).astype(np.uint8), r.integers(0, 30, 400)
+    side[200:] = side[:200]
+    order, shared = repeats._agreeing(side, groups)
+    keys = [(groups[k], bytes(side[k])) for k in order]
+    assert keys == sorted(keys) and sorted(order) == list(range(400))
+    for k in range(1, 400):
+        same = next((j for j in range(19) if keys[k][1][j] != keys[k - 1][1][j]), 19)
+        assert shared[k] == (same if keys[k][0] == keys[k - 1][0] else -1)
+
+
 def test_runs_of_one_letter_and_very_long_texts(spark):
     texts = [(1, "a" * 3000), (2, "b" + "a" * 700 + "c"), (3, "a" * 49), (4, "ab" * 9000 + "a" * 60), (5, "ab" * 100)]
     got = repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), hot_least=50).collect()

@@ -85,8 +85,10 @@ def brute_cleaned(rows):
     return out
 
 
-def test_verdicts_equal_brute_force(spark):
+@pytest.mark.parametrize("hosts", [quality_rules.HOSTS, 0])
+def test_verdicts_equal_brute_force(spark, monkeypatch, hosts):
     """Banners, exact and edited copies, short documents, null hosts and texts, repeated rows and ids."""
+    monkeypatch.setattr(quality_rules, "HOSTS", hosts)
     r = random.Random(3)
     own = lambda n: [prose(r, 12) for _ in range(n)]
     texts = [own(6) for _ in range(240)]
