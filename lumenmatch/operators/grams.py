@@ -28,6 +28,8 @@ from ..functions.text import gram_counts, norm
 SHORTLIST = 50
 #: How many grams of a text give first names, how many names of each, as multiples of the shortlist.
 SEED_GRAMS, SEED_NAMES = 4, 2
+#: Where the grams of all texts are in no more postings than this, all are read, without a bound.
+READ_ALL = 2_000_000
 #: Bounds are compared with this margin, far above rounding.
 MARGIN = 1e-9
 
@@ -122,7 +124,11 @@ def with_prefix(q: DataFrame, floors: DataFrame) -> DataFrame:
 def nearest(texts: DataFrame, index: GramIndex, keep: int = SHORTLIST) -> DataFrame:
     """texts (text) -> text, name, cos, cos_rank: exactly the keep names of the greatest cosine, ties by name."""
     q = _ordered(texts, index)
-    q = materialize(with_prefix(q, _least_cosines(q, index, keep)))
+    reads = q.agg(F.sum(F.aggregate("grams", F.lit(0).cast("long"), lambda n, g: n + g["df"]))).first()[0] or 0
+    if reads > READ_ALL:
+        q = materialize(with_prefix(q, _least_cosines(q, index, keep)))
+    else:
+        q = q.withColumns({"floor": F.lit(0.0), "k": F.size("grams")})
     rest = F.coalesce(F.get("rest", F.col("k")), F.lit(0.0)).alias("rest")
     read = spread(q, "text").select("text", "q_norm", "floor", rest, F.explode(F.slice("grams", F.lit(1), F.col("k"))).alias("g"))
     read = read.select("text", "q_norm", "floor", "rest", F.col("g.gram").alias("gram"), F.col("g.ct").alias("q_ct"))

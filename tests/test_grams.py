@@ -37,6 +37,11 @@ def words(seed, n):
     return [*out, "ananananan", "aaaa", "a", "éa éa éa", "kaka lolo"]
 
 
+@pytest.fixture(autouse=True)
+def bounded(monkeypatch):
+    monkeypatch.setattr(grams, "READ_ALL", 0)
+
+
 @pytest.fixture(scope="module")
 def names():
     return words(1, 120)
@@ -64,6 +69,13 @@ def test_nearest_equals_brute_force(spark, texts, names, n, keep, max_rows):
     assert result(grams.nearest(rows(spark, texts, "text"), index, keep)) == brute(texts, names, n, keep)
 
 
+def test_few_postings_are_read_without_a_bound(spark, texts, names, monkeypatch):
+    monkeypatch.setattr(grams, "READ_ALL", 10**6)
+    index = grams.index_of(rows(spark, names, "name"), 3)
+    assert result(grams.nearest(rows(spark, texts, "text"), index, 20)) == brute(texts, names, 3, 20)
+    assert grams.nearest(rows(spark, ["qqqq"], "text"), index).count() == grams.nearest(rows(spark, [], "text"), index).count() == 0
+
+
 def test_frequent_grams_are_not_read_where_they_cannot_help(spark, texts, names):
     index = grams.index_of(rows(spark, names, "name"), 3)
     q = grams._ordered(rows(spark, [t for t in texts if t and "edition" in t], "text"), index)
