@@ -32,7 +32,7 @@ from .common import BLANK_RUN, BLANKS, LOWER, UPPER, blank_words, counted_side,
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCUMENTS = 20
+MIN_DOCUMENTS = 5
 SHARE = 0.03
 DEPLETED_PERCENT = 70
 HOSTS = 2000  # rows with arrays that are still broadcast

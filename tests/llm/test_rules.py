@@ -68,7 +68,7 @@ def brute_cleaned(rows):
     boiler, limit = set(), {}
     for host in {d[2] for d in docs}:
         mine = [d for d in docs if d[2] == host and lines[d]]
-        limit[host] = max(20, 0.03 * len(mine))
+        limit[host] = max(5, 0.03 * len(mine))
         cands = {x for d in mine for x, _ in lines[d] if sum(x in {y for y, _ in lines[e]} for e in mine) > limit[host]}
         vote = {d: max((longest(w) for x, w in lines[d] if x not in cands), default=(0, b""))[1] for d in mine}
         boiler |= {(host, x) for x in cands if len({vote[d] for d in mine if x in {y for y, _ in lines[d]}}) > limit[host]}
