@@ -129,3 +129,22 @@ def test_command_line_writes_each_row_once(spark, tmp_path):
     assert main([*args, "--batch", "again"]) == 0
     assert t("card_catalog").first().quantity == 4 and t("card_need_attn").count() == 2
     spark.sql("DROP DATABASE lumen_cli CASCADE")
+
+
+def test_a_stream_run_again_adds_its_cards_once(spark, tmp_path):
+    from lumenmatch.streaming import stream_into
+
+    digest, schema = "ab" * 32, "scan_id long, text string, hash string"
+    spark.sql("CREATE DATABASE IF NOT EXISTS lumen_stream")
+    schemas.create_tables(spark, "lumen_stream", 4)
+    names = spark.createDataFrame([("Darkness",)], "name string")
+    printings = spark.createDataFrame([("Darkness", "A", 1, "0.05")], "name string, set_name string, magic_id int, usd string")
+    hashes = spark.createDataFrame([("Darkness", "A", digest)], "name string, set_name string, card_hash string")
+    have = spark.createDataFrame([("Darkness", "A", 2)], "name string, set_name string, quantity int")
+    spark.createDataFrame([(1, "Darkness", digest), (2, "qqqq", digest), (3, "darkness", digest)], schema).coalesce(1).write.parquet(str(tmp_path / "scans"))
+    for k in range(2):  # a lost checkpoint gives all batches again
+        q = stream_into(spark, str(tmp_path / "scans"), schema, str(tmp_path / f"cp{k}"), "lumen_stream", "s", names, printings, hashes, hashes, have)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert [(r.card_name, r.quantity, r.batches) for r in spark.table("lumen_stream.card_catalog").collect()] == [("Darkness", 2, ["s-0"])]
+    spark.sql("DROP DATABASE lumen_stream CASCADE")

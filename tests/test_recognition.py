@@ -217,6 +217,13 @@ def test_strict_mode_and_fresh_hashes(spark):
     assert {r.scan_id: r.sets for r in strict.routed.collect()} == {1: ["A", "B"], 2: []}
 
 
+def test_a_set_without_a_name_is_empty_text(spark):
+    hashes = spark.createDataFrame([("n", HEX, None), ("n", HEX, "A"), (None, HEX, "B")], "name string, card_hash string, set_name string")
+    scans = spark.createDataFrame([(1, "n", HEX), (2, None, HEX)], "scan_id long, name string, hash string")
+    got = verify.matched_sets(scans, hashes, hashes.limit(0), ["name"], ["scan_id"])
+    assert [tuple(r) for r in got.collect()] == [(1, ["", "A"])]
+
+
 def test_rule_lists(spark):
     good = ("abc", "typ", "set", 1, 1, "http://x")
     df = spark.createDataFrame([good, ("ab", *good[1:]), (*good[:3], 0, 1, "u" * 151), (None,) * 6], "card_name string, card_type string, card_set string, quantity int, magic_id int, image_url string")
