@@ -177,3 +177,29 @@ def cluster(
     rows = [(k, c.tolist(), sums.get(k, 0), sum(sums.values())) for k, c in enumerate(centroids)]
     per = spark.createDataFrame(rows, "cluster int, centroid array<long>, cluster_inertia long, inertia long")
     return found.join(F.broadcast(per), "cluster").select(id_col, "cluster", "distance", "centroid", "cluster_inertia", "inertia")
+
+
+def cluster_sql(table: str = "embeddings", clusters: int = CLUSTERS, rounds: int = ROUNDS, size: int = SIZE, scale: int = SCALE, salt: str = "3:") -> str:
+    """The columns of the registered query as SQL, a pair of steps for each round; every centroid is compared."""
+    apart = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT rid, arg_min(k, d * {clusters} + k) AS k, min(d) AS d FROM (SELECT rid, k, {apart} AS d FROM kept, c{r}) GROUP BY rid)"
+        )
+        if r < rounds:
+            steps.append(
+                f"m{r} AS MATERIALIZED (SELECT k, list(x ORDER BY i) AS c FROM (SELECT k, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x "
+                f"FROM (SELECT k, unnest(v) AS x, unnest(range(0, {size})) AS i FROM kept JOIN a{r} USING (rid)) GROUP BY k, i) GROUP BY k)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.k = m{r}.k)")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM {table}
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v AS c FROM
+  (SELECT sha256('{salt}' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {clusters})),
+{", ".join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} f ON a.k = f.k
+"""

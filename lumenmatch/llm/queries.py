@@ -160,4 +160,4 @@ FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express whole."""
-    return {"op2_license_scan": licenses.scan_sql(), "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op9_quality_rules": quality_rules.judge_sql()}
+    return {"op2_license_scan": licenses.scan_sql(), "op3_url_filter": OP3_SQL, "op7_decontaminate": OP7_SQL, "op9_quality_rules": quality_rules.judge_sql(), "op13_centroid_clustering": centroids.cluster_sql()}
