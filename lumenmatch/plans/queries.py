@@ -652,7 +652,33 @@ def image_hash(spark: SparkSession, d: str) -> DataFrame:
     return hash_images(_images(spark, d), 8)
 
 
-@registered()
+def _snippet_sql() -> str:
+    """Regions of the images above, without pixels: columns and rows with equal surroundings form stretches.
+
+    A pixel of the result depends on the cells of its neighbours' neighbours, edges repeated: three times three on either axis.
+    """
+    boxes = {r: [int(size * share + 0.5) for size, share in ((360, LEFT), (504, top), (360, w), (504, h))] for r, (w, h, top) in REGIONS.items()}
+    near = lambda at, size, cell, start: "[" + ", ".join(
+        f"({start} + greatest(0, least({size} - 1, greatest(0, least({size} - 1, {at} + {a})) + {b}))) // {cell}" for a in (-1, 0, 1) for b in (-1, 0, 1)
+    ) + "]"
+    stretches = lambda size, start, cell: f"SELECT region, s, min(k) AS k, count(*) AS n FROM (SELECT region, k, {near('k', size, cell, start)} AS s FROM (SELECT *, unnest(range({size})) AS k FROM boxes)) GROUP BY region, s"
+    mean = lambda terms: f"((({' + '.join(terms)}) * 57) >> 9)"
+    blurred = mean([
+        mean([f"p[y.s[{3 * ay + by + 1}] * 8 + x.s[{3 * ax + bx + 1}] + 1]" for by in range(3) for bx in range(3)])
+        for ay in range(3) for ax in range(3)
+    ])
+    return f"""WITH boxes(region, l, t, w, h) AS (VALUES {", ".join(f"('{r}', {', '.join(map(str, b))})" for r, b in boxes.items())}),
+xs AS ({stretches("w", "l", 45)}), ys AS ({stretches("h", "t", 63)}),
+pixels AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round(128 + CAST(x AS DOUBLE) * 400)))) AS v FROM embeddings),
+contrast AS (SELECT vec_id, list_transform(v, lambda x: greatest(0, least(255, floor((CAST(1.73 AS DOUBLE) / (1 - CAST(0.73 AS DOUBLE))) * (x - 127) + 127)))) AS c FROM pixels),
+bright AS (SELECT vec_id, list_transform(c, lambda x: CAST(trunc(x + (255 - x) * CAST(0.235 AS DOUBLE)) AS INTEGER)) AS p FROM contrast),
+runs AS (SELECT vec_id, region, y.k AS y, y.n AS tall, x.k AS x, repeat(lower(printf('%02x', {blurred})), x.n) AS hex FROM bright, xs AS x JOIN ys AS y USING (region)),
+lines AS (SELECT vec_id, region, y, repeat(string_agg(hex, '' ORDER BY x), any_value(tall)) AS hex FROM runs GROUP BY vec_id, region, y)
+SELECT vec_id AS id, region, CAST(any_value(w) AS INTEGER) AS width, CAST(any_value(h) AS INTEGER) AS height, sha256(unhex(string_agg(hex, '' ORDER BY y))) AS sha256
+FROM lines JOIN boxes USING (region) GROUP BY vec_id, region"""
+
+
+@registered(_snippet_sql())
 def image_snippets(spark: SparkSession, d: str) -> DataFrame:
     """All four regions of images of 360 x 504 pixels, with a digest of their bytes."""
     from ..operators.imaging import snippets

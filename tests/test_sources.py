@@ -158,3 +158,17 @@ def test_a_stopped_backfill_goes_on_and_hashes_nothing_twice(spark, tmp_path):
     printings = printings.unionByName(spark.createDataFrame([("n05x", "a", False, False, "http://x/new.jpg")], printings.schema))
     assert run(hasher) == 3 and seen[48:] == ["http://x/new.jpg"]
     spark.sql("DROP DATABASE lumen_fill CASCADE")
+
+
+def test_snippets_equal_their_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    from lumenmatch.plans import queries
+
+    r = np.random.default_rng(5)
+    vectors = [(k, [float(x) for x in r.normal(0, s, 64)]) for k, s in enumerate((0.01, 0.1, 0.3, 2.0))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(x.id, x.region): (x.width, x.height, x.sha256) for x in queries.image_snippets(spark, str(tmp_path)).collect()}
+    sql = f"WITH embeddings AS (SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet') SELECT id, region, width, height, sha256 FROM ({queries.SQL['image_snippets']})"
+    assert got == {x[:2]: x[2:] for x in duckdb.sql(sql).fetchall()} and len(got) == 16
