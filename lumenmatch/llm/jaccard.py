@@ -44,6 +44,7 @@ FLUSH = 1_000_000
 HOT_FACTOR = 8
 HOT_LEAST = 2000
 TASK_ROWS = 1 << 21
+SHARE_CELLS = 1000
 EXTRA = 4
 
 
@@ -356,11 +357,15 @@ def _block_pairs(shared: DataFrame, placed: DataFrame, labels: DataFrame) -> tup
         rows.groupBy("token", "grp", "block").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("least").alias("least"))
     )
     top = cells.groupBy("token").agg(F.max("high").alias("h"), F.count("*").alias("n")).where(F.col("n") > 1)
-    cells = cells.join(top.select("token", "h"), "token")
-    asks = cells.where(F.col("low") < F.col("h")).select("token", "low", "least", F.col("grp").alias("g1"), F.col("block").alias("b1"))
-    holds = cells.select("token", "high", F.col("grp").alias("g2"), F.col("block").alias("b2"))
+    # the asks of a token that stands in many blocks are dealt to several tasks, each with all that holds it
+    parts = F.ceil(F.col("n") / SHARE_CELLS).cast("int")
+    cells = cells.join(top.select("token", "h", parts.alias("parts")), "token")
+    share = F.pmod(F.xxhash64("grp", "block"), F.col("parts")).cast("int").alias("share")
+    asks = cells.where(F.col("low") < F.col("h")).select("token", share, "low", "least", F.col("grp").alias("g1"), F.col("block").alias("b1"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share")
+    holds = cells.select("token", every, "high", F.col("grp").alias("g2"), F.col("block").alias("b2"))
     other = (F.col("g1") != F.col("g2")) | (F.col("b1") != F.col("b2"))
-    met = asks.join(holds, "token").where(other & (F.col("low") < F.col("high")))
+    met = asks.join(holds, ["token", "share"]).where(other & (F.col("low") < F.col("high")))
     met = met.groupBy("g1", "b1", "g2", "b2").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("high").alias("top"))
     pairs = materialize(met.where(F.col("k") >= F.col("least")).select("g1", "b1", "g2", "b2", "top"))
     return pairs, member.groupBy("grp", "block").agg(F.collect_list(F.struct("sid", "rank")).alias("members"))
