@@ -71,7 +71,6 @@ def test_many_blocks_of_chained_families_equal_brute_force(spark, monkeypatch):
             texts.append((n, " ".join(words)))
             n += 1
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 400)
-    monkeypatch.setattr(jaccard, "SHARE_CELLS", 2)
     rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_ids(rows).collect()}
     want = brute(texts)
