@@ -30,8 +30,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
-    ("example.net", "/de/8", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
 
