@@ -275,3 +275,22 @@ def test_names_containing_answers_more_queries_than_are_broadcast(spark):
     assert got.columns == ["name", "set_name", "query"]
     assert sorted((r.name, r.query) for r in got.collect()) == want
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_sides_that_grow_with_the_scans_are_not_broadcast(spark, tmp_path):
+    """Their size is guessed from compressed files and shuffles; rows of hashes with their bands took hundreds of MB of the driver."""
+    scans = spark.createDataFrame([(k, "a", f"{k % 3}" * 64) for k in range(30)], "scan_id long, name string, hash string")
+    hashes = spark.createDataFrame([("a", s * 64, s) for s in "012"], "name string, card_hash string, set_name string")
+    scans.write.parquet(f"{tmp_path}/scans")
+    hashes.write.parquet(f"{tmp_path}/hashes")
+    scans, hashes = spark.read.parquet(f"{tmp_path}/scans"), spark.read.parquet(f"{tmp_path}/hashes")
+    joins = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    for profile in (hashing.STORED, hashing.REMOTE):
+        met = [x for x in joins(verify.banded_pairs(scans, hashes, profile, ["name"])) if "_band" in x]
+        assert met and all("SortMergeJoin" in x for x in met)
+    routed = scans.select("scan_id", "name", F.array("name").alias("sets"), F.lit("attention").alias("target"))
+    for out in (routing.attention_rows(routed, scans.drop("name")), routing.unmatched(scans, routed)):
+        assert len(joins(out)) == 1 and "SortMergeJoin" in joins(out)[0]
+    twice = scans.unionByName(scans).unionByName(spark.createDataFrame([(0, "a", "1" * 64), (99, "a", None)], scans.schema))
+    got = {r.scan_id: r.sets for r in verify.matched_sets(twice, hashes, hashes, ["name"], ["scan_id"]).collect()}
+    assert got == {0: ["0", "1"]} | {k: [str(k % 3)] for k in range(1, 30)}
