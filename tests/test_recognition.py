@@ -1,3 +1,4 @@
+import re
 import struct
 import zlib
 
@@ -294,3 +295,15 @@ def test_sides_that_grow_with_the_scans_are_not_broadcast(spark, tmp_path):
     twice = scans.unionByName(scans).unionByName(spark.createDataFrame([(0, "a", "1" * 64), (99, "a", None)], scans.schema))
     got = {r.scan_id: r.sets for r in verify.matched_sets(twice, hashes, hashes, ["name"], ["scan_id"]).collect()}
     assert got == {0: ["0", "1"]} | {k: [str(k % 3)] for k in range(1, 30)}
+
+
+def test_clean_text_equals_the_plain_expression_and_is_not_run_by_spark(spark):
+    odd = [None, "", " ", "a  b\tc\nd", "é1—2 ß", "\U0001f600x\U0001f600", "\x00z\x7f", "0_9-[]^", "ab" * 50_000 + " é" * 50_000]
+    df = spark.createDataFrame(list(enumerate(odd * 3)), "k int, t string")
+    out = df.select("k", "t", text.clean_text(F.col("t")).alias("clean"), text.clean_text(F.col("t"), True).alias("spaced"))
+    for r in out.collect():
+        want = [None if r.t is None else re.sub(p, "", r.t) for p in ("[^A-Za-z0-9]", "[^A-Za-z0-9 ]")]
+        assert [r.clean, r.spaced] == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+    assert df.limit(0).select(text.clean_text(F.col("t"))).count() == 0
